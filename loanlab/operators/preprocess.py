@@ -148,6 +148,7 @@ class PreprocessModel:
     numeric: dict[str, tuple[float, float, float]]  # median, mean, population std
     categorical: dict[str, tuple[str, tuple[str, ...]]]  # mode, sorted categories
     rows: int = 0
+    missing: dict = field(default_factory=dict)
     names: tuple[str, ...] = field(init=False)
 
     def __post_init__(self):
@@ -205,26 +206,29 @@ def fit_preprocessor(df: DataFrame, roles: Roles, known_medians: dict | None = N
     """Three jobs: medians (skipped if known), one wide numeric aggregate, one category count."""
     med = known_medians or medians(df, roles.numeric)
     x = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double")) for c in roles.numeric}
-    row = df.agg(F.count("*").alias("_n"), *[F.struct(F.avg(x[c]).alias("mean"), F.stddev_pop(x[c]).alias("std"),
-                                                      F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(c)
-                                             for c in roles.numeric]).first()
+    row = df.agg(F.count("*").alias("_n"), *[F.struct(
+        F.avg(x[c]).alias("mean"), F.stddev_pop(x[c]).alias("std"), F.min(x[c]).alias("lo"),
+        F.max(x[c]).alias("hi"), F.count(c).alias("k")).alias(c) for c in roles.numeric]).first()
     numeric = {}
     for c in roles.numeric:
         s = row[c]
         spread = s["std"] if s["lo"] is not None and s["lo"] != s["hi"] else 0.0
         numeric[c] = (0.0 if med[c] is None else med[c], s["mean"] or 0.0, spread)
 
-    cats, best = {c: [] for c in roles.categorical}, {}
+    cats = {c: [] for c in roles.categorical}
     if roles.categorical:
-        counts = _category_counts(df, roles.categorical)
-        summary = counts.groupBy("feature").agg(
-            F.count("*").alias("k"),
-            F.min(F.struct((-F.col("n")).alias("neg"), "value"))["value"].alias("mode")).collect()
-        for r in summary:
-            if r["k"] > category_limit:
-                raise CardinalityError(f"{r['feature']} has {r['k']} categories; one-hot allows {category_limit}")
-            best[r["feature"]] = r["mode"]
-        for r in counts.select("feature", "value").collect():
-            cats[r["feature"]].append(r["value"])
-    categorical = {c: (best.get(c), tuple(sorted(cats[c], key=lambda s: s.encode()))) for c in roles.categorical}
-    return PreprocessModel(roles, numeric, categorical, row["_n"])
+        # every (column, category) count, or one row more than allowed
+        most = category_limit * len(roles.categorical)
+        for r in _category_counts(df, roles.categorical).limit(most + 1).collect():
+            cats[r["feature"]].append((r["value"], r["n"]))
+        for c, v in cats.items():
+            if len(v) > category_limit:
+                raise CardinalityError(f"{c} has more than {category_limit} categories; too many for one-hot")
+    categorical = {}
+    for c, counted in cats.items():
+        counted = sorted(counted, key=lambda e: e[0].encode())
+        mode = max(counted, key=lambda e: e[1])[0] if counted else None  # the first wins ties
+        categorical[c] = (mode, tuple(v for v, _ in counted))
+    gaps = {c: row["_n"] - row[c]["k"] for c in roles.numeric}
+    gaps.update({c: row["_n"] - sum(n for _, n in v) for c, v in cats.items()})
+    return PreprocessModel(roles, numeric, categorical, row["_n"], gaps)
