@@ -1,10 +1,12 @@
 """Exact quantiles (linear interpolation) with bounded state.
 
-``percentile`` keeps one map entry per distinct value, so it is only used for columns
-whose distinct count was checked. Columns beyond the limit go through rank selection: a
-quantile sketch proposes two pivots around each wanted rank, exact counts decide which
-side of them the rank lies on, and the bracket shrinks until it holds few distinct
-values. The sketch only steers the search; the counts make the answer exact.
+``percentile`` keeps one map entry per distinct value and sends every map to one task, so
+it is not used. Instead the row of each wanted rank is found by counting: a column's value
+range is cut into bins, the rows per bin are counted (partial counts first, so a map task
+sends at most the bins), and only the bin that holds the rank is cut again. A range that
+holds few rows is finished by counting its distinct values; a range that holds a single
+value, however many copies, is finished at once. Each pass reads the column once and
+narrows the range by the number of bins, so a handful of passes serve any table.
 """
 
 from __future__ import annotations
@@ -16,132 +18,116 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DISTINCT_LIMIT = 100_000
-_ACCURACY = 10_000
+ROW_LIMIT = 1_000_000  # most rows of one range whose distinct values are counted directly
+BINS = 4_096
 
 
-@dataclass
-class _Bracket:
-    """Closed value range that holds the row of one 0-based rank."""
+@dataclass(frozen=True)
+class _Range:
+    """A closed value range of one column: rows before it, rows in it."""
 
     col: str
-    rank: int
     lo: float
     hi: float
     below: int
-    within: int
+    rows: int
 
 
-def exact_quantiles(df: DataFrame, cols, probs, distinct_limit: int = DISTINCT_LIMIT) -> dict:
+def exact_quantiles(df: DataFrame, cols, probs, row_limit: int = ROW_LIMIT, bins: int = BINS) -> dict:
     """``{column: [quantile per prob]}``; ``None`` for a column without values."""
     cols, probs = list(cols), list(probs)
     if not cols:
         return {}
     x = {c: F.col(c).cast("double") for c in cols}
-    sizes = df.agg(*[
-        F.struct(F.count(c).alias("n"), F.approx_count_distinct(c).alias("d"),
-                 F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(c)
-        for c in cols
-    ]).first()
+    facts = df.agg(*[F.struct(F.count(c).alias("n"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(c)
+                     for c in cols]).first()
+    filled = [c for c in cols if facts[c]["n"]]
+    wanted = {}
+    for c in filled:
+        top = facts[c]["n"] - 1
+        ranks = {min(math.floor(p * top) + step, top) for p in probs for step in (0, 1)}
+        wanted[_Range(c, facts[c]["lo"], facts[c]["hi"], 0, facts[c]["n"])] = ranks
+    at = _values_at(df, x, wanted, row_limit, bins)
 
     out = {c: [None] * len(probs) for c in cols}
-    few = [c for c in cols if sizes[c]["n"] and sizes[c]["d"] <= distinct_limit]
-    many = [c for c in cols if sizes[c]["n"] and sizes[c]["d"] > distinct_limit]
-    if few:
-        row = df.agg(*[F.percentile(x[c], probs).alias(c) for c in few]).first()
-        out.update({c: list(row[c]) for c in few})
-    if many:
-        wanted = []
-        for c in many:
-            top = sizes[c]["n"] - 1
-            for p in probs:
-                wanted += [(c, math.floor(p * top)), (c, min(math.floor(p * top) + 1, top))]
-        brackets = [
-            _Bracket(c, r, sizes[c]["lo"], sizes[c]["hi"], 0, sizes[c]["n"]) for c, r in dict.fromkeys(wanted)
-        ]
-        values = _select_ranks(df, x, brackets, distinct_limit)
-        for c in many:
-            top = sizes[c]["n"] - 1
-            for i, p in enumerate(probs):
-                k = math.floor(p * top)
-                a, b = values[(c, k)], values[(c, min(k + 1, top))]
-                out[c][i] = a + (p * top - k) * (b - a)
+    for c in filled:
+        top = facts[c]["n"] - 1
+        for i, p in enumerate(probs):
+            k = math.floor(p * top)
+            a, b = at[(c, k)], at[(c, min(k + 1, top))]
+            out[c][i] = a + (p * top - k) * (b - a)
     return out
 
 
-def _select_ranks(df, x, brackets, limit) -> dict:
-    """Value at each wanted rank, by narrowing brackets with exact counts."""
-    answers, ready, open_ = {}, [], list(brackets)
-    while open_:
-        still = []
-        for b in open_:
-            if b.lo == b.hi:
-                answers[(b.col, b.rank)] = b.lo
-            else:
-                still.append(b)
-        open_ = still
-        if not open_:
-            break
-
-        def inside(b):
-            return F.when(x[b.col].between(b.lo, b.hi), x[b.col])
-
-        eps = 1.0 / _ACCURACY
-        aggs = []
-        for i, b in enumerate(open_):
-            p = (b.rank - b.below + 0.5) / b.within
-            around = [max(0.0, p - eps), min(1.0, p + eps)]
-            aggs.append(F.struct(
-                F.approx_count_distinct(inside(b)).alias("d"),
-                F.percentile_approx(inside(b), around, _ACCURACY).alias("pivots"),
-            ).alias(f"b{i}"))
-        guess = df.agg(*aggs).first()
-
-        split, aggs = [], []
-        for i, b in enumerate(open_):
-            if guess[f"b{i}"]["d"] <= limit:
-                ready.append(b)
-                continue
-            a, z = guess[f"b{i}"]["pivots"]
-            if a == b.lo and z == b.hi:  # the sketch gave nothing new: cut in the middle
-                a = z = b.lo + (b.hi - b.lo) / 2
-            split.append((b, a, z))
-            # the nearest values outside the pivots keep every region a closed range
-            v = inside(b)
-            aggs.append(F.struct(
-                F.count_if(v < a).alias("left"), F.count_if(v.between(a, z)).alias("mid"),
-                F.max(F.when(v < a, v)).alias("left_hi"), F.min(F.when(v > z, v)).alias("right_lo"),
-                F.min(F.when(v.between(a, z), v)).alias("mid_lo"),
-                F.max(F.when(v.between(a, z), v)).alias("mid_hi"),
-            ).alias(f"s{len(split) - 1}"))
-        open_ = []
-        if split:
-            counted = df.agg(*aggs).first()
-            for i, (b, _, _) in enumerate(split):
-                s, r = counted[f"s{i}"], b.rank - b.below
-                if r < s["left"]:
-                    nxt = _Bracket(b.col, b.rank, b.lo, s["left_hi"], b.below, s["left"])
-                elif r < s["left"] + s["mid"]:
-                    nxt = _Bracket(b.col, b.rank, s["mid_lo"], s["mid_hi"], b.below + s["left"], s["mid"])
-                else:
-                    taken = s["left"] + s["mid"]
-                    nxt = _Bracket(b.col, b.rank, s["right_lo"], b.hi, b.below + taken, b.within - taken)
-                open_.append(nxt)
-    if ready:
-        answers.update(_pick(df, x, ready))
-    return answers
-
-
-def _pick(df, x, ready) -> dict:
-    """Rank lookup inside brackets whose distinct values are few."""
+def _values_at(df, x, wanted, row_limit, bins) -> dict:
+    """``{(column, rank): value}`` for ``{range: ranks}``."""
+    found = {}
+    while wanted:
+        small = {}
+        for r in list(wanted):
+            if r.lo == r.hi:
+                found.update({(r.col, k): r.lo for k in wanted.pop(r)})
+            elif r.rows <= row_limit:
+                small[r] = wanted.pop(r)
+        if small:
+            found.update(_look_up(df, x, small))
+        if wanted:
+            wanted = _narrow(df, x, wanted, bins)
+    return found
+
+
+def _scale(v, r: _Range):
+    """A monotone position in the range: linear, or logarithmic when it spans magnitudes."""
+    if max(abs(r.lo), abs(r.hi)) > 1e6 and (r.lo <= 0 <= r.hi or max(r.lo / r.hi, r.hi / r.lo) > 1e6):
+        return F.signum(v) * F.log1p(F.abs(v)), *[math.copysign(math.log1p(abs(e)), e) for e in (r.lo, r.hi)]
+    return v, r.lo, r.hi
+
+
+def _cells(df, x, ranges, extra):
+    """One row per (range, value inside it)."""
     cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("b"), F.when(x[b.col].between(b.lo, b.hi), x[b.col]).alias("v"))
-        for i, b in enumerate(ready)
-    ])).alias("cell")
-    counts = (df.select(cells).select("cell.b", "cell.v").filter("v IS NOT NULL")
-              .groupBy("b", "v").agg(F.count("*").alias("n")))
-    upto = F.sum("n").over(W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    rank = F.element_at(F.array(*[F.lit(b.rank - b.below) for b in ready]), F.col("b") + 1)
-    hits = (counts.withColumn("upto", upto).withColumn("r", rank)
-            .filter("upto > r AND upto - n <= r").select("b", "v").collect())
-    return {(ready[h["b"]].col, ready[h["b"]].rank): h["v"] for h in hits}
+        F.struct(F.lit(i).alias("r"), *[e.alias(n) for n, e in extra(r, x[r.col]).items()])
+        for i, r in enumerate(ranges)])).alias("cell")
+    return df.select(cells).select("cell.*").filter(F.col("v").isNotNull())
+
+
+def _narrow(df, x, wanted, bins) -> dict:
+    """Replace every range by its bins that hold a wanted rank."""
+    ranges = list(wanted)
+
+    def place(r, v):
+        s, lo, hi = _scale(v, r)
+        slot = F.least(F.greatest(F.floor((s - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(0)), F.lit(bins - 1))
+        inside = v.between(r.lo, r.hi)
+        return {"bin": F.when(inside, slot.cast("int")), "v": F.when(inside, v)}
+
+    counted = (_cells(df, x, ranges, place).groupBy("r", "bin")
+               .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+    out = {}
+    by_range = {}
+    for row in sorted(counted, key=lambda row: (row["r"], row["bin"])):
+        by_range.setdefault(row["r"], []).append(row)
+    for i, r in enumerate(ranges):
+        below, left = r.below, sorted(wanted[r])
+        for row in by_range[i]:
+            held = {k for k in left if k < below + row["n"]}
+            if held:
+                out[_Range(r.col, row["lo"], row["hi"], below, row["n"])] = held
+                left = [k for k in left if k not in held]
+            below += row["n"]
+    return out
+
+
+def _look_up(df, x, small) -> dict:
+    """Ranks inside ranges of few rows: running counts over their distinct values."""
+    ranges = list(small)
+    counts = (_cells(df, x, ranges, lambda r, v: {"v": F.when(v.between(r.lo, r.hi), v)})
+              .groupBy("r", "v").agg(F.count("*").alias("n")))
+    upto = F.sum("n").over(W.partitionBy("r").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    places = [(i, k - r.below) for i, r in enumerate(ranges) for k in sorted(small[r])]
+    ask = F.element_at(F.array(*[
+        F.array(*[F.lit(k).cast("bigint") for j, k in places if j == i]) for i in range(len(ranges))]), F.col("r") + 1)
+    hits = (counts.withColumn("upto", upto)
+            .withColumn("ranks", F.filter(ask, lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n"))))
+            .filter(F.size("ranks") > 0).select("r", "v", "ranks").collect())
+    return {(ranges[h["r"]].col, ranges[h["r"]].below + k): h["v"] for h in hits for k in h["ranks"]}

@@ -36,14 +36,18 @@ def confusion(predictions: DataFrame) -> DataFrame:
 
 def classification_metrics(predictions: DataFrame) -> DataFrame:
     """Accuracy, precision, recall and F1; undefined ratios count as 0."""
+    return _metrics(predictions).drop("n_scored")
+
+
+def _metrics(predictions: DataFrame) -> DataFrame:
     tn, fp, fn, tp = (F.col(k) for k in ("tn", "fp", "fn", "tp"))
     zero = F.lit(0.0)
-    return predictions.groupBy("model_name").agg(*_cells()).select(
+    return predictions.groupBy("model_name").agg(*_cells(), F.count("score").alias("n_scored")).select(
         "model_name",
         ratio(tp + tn, tn + fp + fn + tp).alias("accuracy"),
         F.coalesce(ratio(tp, tp + fp), zero).alias("precision"),
         F.coalesce(ratio(tp, tp + fn), zero).alias("recall"),
-        F.coalesce(ratio(2 * tp, 2 * tp + fp + fn), zero).alias("f1"))
+        F.coalesce(ratio(2 * tp, 2 * tp + fp + fn), zero).alias("f1"), "n_scored")
 
 
 def score_counts(predictions: DataFrame) -> DataFrame:
@@ -118,10 +122,9 @@ def average_precision(predictions: DataFrame) -> DataFrame:
 
 def evaluate(predictions: DataFrame) -> DataFrame:
     """The five metrics per model; ROC-AUC is 0 for a model without scores."""
-    has_score = predictions.groupBy("model_name").agg(F.count("score").alias("_n"))
-    return (classification_metrics(predictions).join(has_score, "model_name")
-            .join(roc_auc(predictions), "model_name", "left")
-            .withColumn("roc_auc", F.when(F.col("_n") == 0, 0.0).otherwise(F.col("roc_auc"))).drop("_n"))
+    auc = F.when(F.col("n_scored") == 0, 0.0).otherwise(F.col("roc_auc"))
+    return (_metrics(predictions).join(roc_auc(predictions), "model_name", "left")
+            .withColumn("roc_auc", auc).drop("n_scored"))
 
 
 # ---------------------------------------------------------------- comparison of models

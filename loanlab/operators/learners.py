@@ -141,6 +141,12 @@ class NeighborsModel:
 
 # ---------------------------------------------------------------- learners
 
+def _width(df: DataFrame) -> int:
+    """Vector length from the column's attributes; one row is read only if they are absent."""
+    known = df.schema["features"].metadata.get("ml_attr", {}).get("num_attrs")
+    return known or len(df.select("features").first()["features"])
+
+
 def _weighted(train: DataFrame, balanced: bool) -> DataFrame:
     return balanced_weights(train) if balanced else train
 
@@ -200,7 +206,7 @@ def fit_neighbors(train: DataFrame, id_col: str, k: int = 5) -> NeighborsModel:
 
 def fit_naive_bayes(train: DataFrame, id_col: str, smoothing: float = 1e-9) -> NaiveBayesModel:
     """One aggregate over the classes; the variance floor comes from the pooled moments."""
-    width = len(train.select("features").first()["features"])
+    width = _width(train)
     x = train.select("label", vector_to_array("features").alias("x"))
     stats = [F.array(*[F.avg(F.col("x")[i]) for i in range(width)]).alias("mean"),
              F.array(*[F.var_pop(F.col("x")[i]) for i in range(width)]).alias("var")]
@@ -226,7 +232,7 @@ def fit_adaboost(train: DataFrame, id_col: str, rounds: int = 100, rate: float =
     does not grow. Stumps sharing a cut are merged, which bounds that expression by the
     number of distinct cuts.
     """
-    width = len(train.select("features").first()["features"])
+    width = _width(train)
     x, y = vector_to_array(F.col("features")), F.col("label")
     model, gains = StumpsModel([], [0.0] * width), [0.0] * width
     est = DecisionTreeClassifier(maxDepth=1, weightCol="weight", maxBins=128, seed=RANDOM_SEED,

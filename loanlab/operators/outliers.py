@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlab.functions.quantiles import DISTINCT_LIMIT, exact_quantiles
+from loanlab.functions.quantiles import ROW_LIMIT, exact_quantiles
 from loanlab.functions.scalars import percent, r2, rows_from_one
 from loanlab.roles import Roles
 
 METHODS = ("clip", "remove", "none")
 
 
-def fence_constants(df: DataFrame, cols, threshold: float = 1.5, distinct_limit: int = DISTINCT_LIMIT) -> dict:
+def fence_constants(df: DataFrame, cols, threshold: float = 1.5, row_limit: int = ROW_LIMIT) -> dict:
     """``{column: {q1, median, q3, lower, upper}}``; columns without values are left out."""
     out = {}
-    for c, (q1, med, q3) in exact_quantiles(df, cols, [0.25, 0.5, 0.75], distinct_limit).items():
+    for c, (q1, med, q3) in exact_quantiles(df, cols, [0.25, 0.5, 0.75], row_limit).items():
         if q1 is not None:
             iqr = q3 - q1
             out[c] = {"q1": q1, "median": med, "q3": q3,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector
 
-from loanlab.functions.quantiles import DISTINCT_LIMIT, exact_quantiles
+from loanlab.functions.quantiles import ROW_LIMIT, exact_quantiles
 from loanlab.functions.scalars import as_key_text, long_text
 from loanlab.operators.ranking import running_totals
 from loanlab.roles import Roles
@@ -26,8 +26,8 @@ class CardinalityError(ValueError):
 
 # ---------------------------------------------------------------- fitted statistics
 
-def medians(df: DataFrame, cols, distinct_limit: int = DISTINCT_LIMIT) -> dict:
-    return {c: q[0] for c, q in exact_quantiles(df, cols, [0.5], distinct_limit).items()}
+def medians(df: DataFrame, cols, row_limit: int = ROW_LIMIT) -> dict:
+    return {c: q[0] for c, q in exact_quantiles(df, cols, [0.5], row_limit).items()}
 
 
 def _category_counts(df: DataFrame, cols) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlab import fixed_values as fv
-from loanlab.functions.quantiles import DISTINCT_LIMIT, exact_quantiles
+from loanlab.functions.quantiles import ROW_LIMIT, exact_quantiles
 from loanlab.functions.scalars import (
     adjusted_skewness, is_numeric, long_numeric, long_text, percent, r2, ratio, rows_from_one,
 )
@@ -84,10 +84,10 @@ def feature_info(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def describe_numeric(df: DataFrame, cols, distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
+def describe_numeric(df: DataFrame, cols, row_limit: int = ROW_LIMIT) -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max: one row per column."""
     cols = list(cols)
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], distinct_limit)
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], row_limit)
     x = {c: F.col(c).cast("double") for c in cols}
     wide = df.agg(*[F.struct(
         F.lit(c).alias("feature"), F.count(c).alias("count"), F.avg(x[c]).alias("mean"),
