@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loanlab import fixed_values as fv
 from loanlab.functions.quantiles import ROW_LIMIT, exact_quantiles
 from loanlab.functions.scalars import (
-    adjusted_skewness, is_numeric, long_numeric, long_text, percent, r2, ratio, rows_from_one,
+    adjusted_skewness, is_numeric, long_text, percent, r2, ratio, rows_from_one,
 )
 from loanlab.roles import Roles
 
@@ -184,32 +184,57 @@ def default_rate_by_category(df: DataFrame, roles: Roles, cols=None) -> DataFram
 
 
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
-    """Pairwise-complete Pearson correlation, melted to (x, y, corr).
+    """Pairwise-complete Pearson correlation, melted to (x, y, corr); NULL for a constant side.
 
-    Each unordered pair is aggregated once, in one pass. Built from covariance and
-    deviations because ``corr`` raises on constant columns; those give NULL here.
+    Rows are grouped by which columns they have (few patterns in practice, 2^columns at
+    most), because inside one pattern every pair sees the same rows. One pass then needs
+    plain sums only: per column and per pair of columns, not per pair and column, which
+    keeps the aggregate small enough for generated code. Values are taken relative to a
+    typical value of their column, so that the sums of squares do not cancel.
     """
     cols = list(cols)
-    x = {c: F.col(c).cast("double") for c in cols}
-    pairs = list(combinations(cols, 2))
-
-    def pair_corr(a, b):
-        xa, xb = F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])
-        return ratio(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
-
-    def self_corr(a):
-        return F.when(F.stddev_pop(x[a]) > 0, F.lit(1.0))
-
-    wide = df.agg(*[pair_corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
-                  *[self_corr(a).alias(f"d{i}") for i, a in enumerate(cols)])
-
-    def cell(a, b, name):
-        return F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(name).alias("corr"))
-
-    cells = [cell(a, a, f"d{i}") for i, a in enumerate(cols)]
-    for i, (a, b) in enumerate(pairs):
-        cells += [cell(a, b, f"p{i}"), cell(b, a, f"p{i}")]
-    return rows_from_one(wide, cells)
+    k = len(cols)
+    near = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).limit(101).collect()
+    seen = {c: sorted(r[c] for r in near if r[c] is not None) for c in cols}
+    typical = {c: v[len(v) // 2] if v else 0.0 for c, v in seen.items()}
+    raw = [F.col(c).cast("double") for c in cols]
+    shifted = df.select(
+        sum((F.when(x.isNotNull(), 1 << i).otherwise(0) for i, x in enumerate(raw)), F.lit(0)).alias("has"),
+        *[(x - F.lit(typical[c])).alias(f"x{i}") for i, (c, x) in enumerate(zip(cols, raw))])
+    order = list(combinations(range(k), 2))
+
+    def sums(one):
+        return F.expr("array(" + ", ".join(one(i) for i in range(k)) + ")")
+
+    per_pattern = shifted.groupBy("has").agg(
+        F.count("*").cast("double").alias("n"), sums(lambda i: f"sum(x{i})").alias("s"),
+        sums(lambda i: f"sum(x{i} * x{i})").alias("q"), sums(lambda i: f"min(x{i})").alias("lo"),
+        sums(lambda i: f"max(x{i})").alias("hi"),
+        F.expr("array(" + ", ".join(f"sum(x{i} * x{j})" for i, j in order) + ")").alias("p")
+        if order else F.expr("array(cast(null as double))").alias("p"))
+
+    # one row per pattern and pair the pattern can serve, then one row per pair
+    pair_rows = ", ".join(f"struct({i} AS i, {j} AS j, {n} AS at)" for n, (i, j) in enumerate(order))
+    own_rows = ", ".join(f"struct({i} AS i, {i} AS j, -1 AS at)" for i in range(k))
+    rows = per_pattern.select("*", F.expr(f"inline(array({own_rows}{', ' if order else ''}{pair_rows}))"))
+    rows = rows.filter("(has & shiftleft(1, i)) <> 0 AND (has & shiftleft(1, j)) <> 0").select(
+        "i", "j", "n", *[F.col(a)[F.col(b)].alias(f"{a}{b}") for a in ("s", "q", "lo", "hi") for b in ("i", "j")],
+        F.when(F.col("at") >= 0, F.get("p", F.col("at"))).otherwise(F.col("q")[F.col("i")]).alias("p"))
+    total = rows.groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "p", "si", "sj", "qi", "qj")],
+        (F.min("loi") < F.max("hii")).alias("vi"), (F.min("loj") < F.max("hij")).alias("vj"))
+    cov = F.expr("p - si * sj / n")
+    scale = F.expr("sqrt(qi - si * si / n) * sqrt(qj - sj * sj / n)")
+    corr = F.when(F.col("vi") & F.col("vj"),
+                  F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.try_divide(cov, scale)))
+    name = F.array(*[F.lit(c) for c in cols])
+    # every cell of the matrix, also where no row has both columns
+    grid = F.expr("inline(array(" + ", ".join(
+        f"struct({min(a, b)} AS i, {max(a, b)} AS j, {a} AS a, {b} AS b)" for a in range(k) for b in range(k)) + "))")
+    cells = df.sparkSession.range(1).select(grid)
+    found = total.select("i", "j", corr.alias("corr"))  # one row per pair of columns
+    return cells.join(F.broadcast(found), ["i", "j"], "left").select(
+        name[F.col("a")].alias("x"), name[F.col("b")].alias("y"), "corr")
 
 
 def histogram_by_class(df: DataFrame, roles: Roles, cols=None, bins: int = 20) -> DataFrame:
