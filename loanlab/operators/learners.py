@@ -14,6 +14,7 @@ import re
 import time
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
@@ -147,8 +148,14 @@ def _width(df: DataFrame) -> int:
     return known or len(df.select("features").first()["features"])
 
 
+def _binary(train: DataFrame) -> DataFrame:
+    """Tell Spark ML that the label has two classes, which saves it a pass to find out."""
+    two = {"ml_attr": {"type": "nominal", "vals": ["0", "1"]}}
+    return train.withColumn("label", F.col("label").cast("double").alias("label", metadata=two))
+
+
 def _weighted(train: DataFrame, balanced: bool) -> DataFrame:
-    return balanced_weights(train) if balanced else train
+    return balanced_weights(_binary(train)) if balanced else _binary(train)
 
 
 def _fit_tree_family(estimator, train: DataFrame) -> SparkModel:
@@ -180,7 +187,7 @@ def fit_random_forest(train: DataFrame, id_col: str, num_trees: int = 100, max_d
 def fit_gradient_boosting(train: DataFrame, id_col: str, rounds: int = 100, max_depth: int = 5,
                           rate: float = 0.1) -> SparkModel:
     return _fit_tree_family(GBTClassifier(maxIter=rounds, maxDepth=max_depth, stepSize=rate, seed=RANDOM_SEED),
-                            train)
+                            _weighted(train, False))
 
 
 def fit_regularised_boosting(train: DataFrame, id_col: str, rounds: int = 100, max_depth: int = 5,
@@ -188,7 +195,7 @@ def fit_regularised_boosting(train: DataFrame, id_col: str, rounds: int = 100, m
     """256 bins and at least 4 rows per leaf (a minimum hessian of 1 at p(1-p) <= 1/4)."""
     return _fit_tree_family(GBTClassifier(
         maxIter=rounds, maxDepth=max_depth, stepSize=rate, subsamplingRate=subsample, maxBins=256,
-        minInstancesPerNode=4, seed=RANDOM_SEED), train)
+        minInstancesPerNode=4, seed=RANDOM_SEED), _weighted(train, False))
 
 
 def fit_histogram_boosting(train: DataFrame, id_col: str, rounds: int = 100, max_depth: int = 5,
@@ -230,22 +237,19 @@ def fit_adaboost(train: DataFrame, id_col: str, rounds: int = 100, rate: float =
     A row's weight is a function of the stumps so far, so each round computes it from the
     training table by one column expression: no weight table is written and the lineage
     does not grow. Stumps sharing a cut are merged, which bounds that expression by the
-    number of distinct cuts.
+    number of distinct cuts (128 bins per feature).
     """
     width = _width(train)
     x, y = vector_to_array(F.col("features")), F.col("label")
     model, gains = StumpsModel([], [0.0] * width), [0.0] * width
     est = DecisionTreeClassifier(maxDepth=1, weightCol="weight", maxBins=128, seed=RANDOM_SEED,
                                  minWeightFractionPerNode=0.0)
-    n = sum(class_counts(train).values())
-    total = float(n)
+    rows = _binary(train)
     for _ in range(rounds):
-        # w *= exp(-rate/2 * (ln p_true - ln p_other)), kept at mean 1
-        margin = model.margin(1.0, x)
-        raw = F.exp(F.lit(-0.5 * rate) * F.when(y == 1, margin).otherwise(-margin))
-        if model.stumps:
-            total = train.agg(F.sum(raw)).first()[0]
-        tree = est.fit(train.withColumn("weight", raw * F.lit(n / total)))
+        # w *= exp(-rate/2 * (ln p_true - ln p_other)); a tree does not mind the scale of w,
+        # and with log odds below 37 the product stays far inside double range
+        margin = model.margin(0.5 * rate, x)
+        tree = est.fit(rows.withColumn("weight", F.exp(F.when(y == 1, -margin).otherwise(margin))))
         found = _SPLIT.search(tree.toDebugString)
         if not found:
             break
@@ -354,7 +358,10 @@ def cross_validate(name: str, df: DataFrame, id_col: str, k: int = CV_FOLDS, **o
     """(fold, metric, value): one fit per fold gives all five metrics."""
     if name not in REGISTRY:
         raise UnknownModel(f"unknown model: {name}")
-    folded = kfold(df, id_col, k=k).persist()
+    return _score_folds(name, kfold(df, id_col, k=k).persist(), id_col, k, options)
+
+
+def _score_folds(name, folded: DataFrame, id_col: str, k: int, options: dict) -> DataFrame:
     scored = []
     for i in range(k):
         model = fit_model(name, folded.filter(F.col("fold") != i).drop("fold"), id_col, **options)
@@ -364,13 +371,12 @@ def cross_validate(name: str, df: DataFrame, id_col: str, k: int = CV_FOLDS, **o
     return by_fold.unpivot(["fold"], list(METRICS), "metric", "value").withColumn("fold", F.col("fold").cast("int"))
 
 
-def grid_options(name: str):
+def grid_options(name: str) -> list[dict]:
     """Parameter sets of a model's declared grid, as options of its learner.
 
     Settings without a counterpart in the Spark learner (solver, minimum split size, leaf
     count) are left out; equal sets that remain are given once.
     """
-    from itertools import product
     grid = TUNING_GRIDS[name]
     rename = {"n_estimators": "num_trees" if name == "Random Forest" else "rounds", "max_depth": "max_depth",
               "learning_rate": "rate", "subsample": "subsample", "min_samples_leaf": "min_leaf", "C": "c",
@@ -392,9 +398,9 @@ def grid_options(name: str):
 
 
 def tune(name: str, df: DataFrame, id_col: str, k: int = CV_FOLDS, sets=None) -> DataFrame:
-    """(setting, fold, metric, value) for every parameter set of the model's grid."""
-    parts = []
+    """(setting, fold, metric, value) for every parameter set of the model's grid, on the same folds."""
+    folded, parts = kfold(df, id_col, k=k).persist(), []
     for opts in sets if sets is not None else grid_options(name):
         label = ", ".join(f"{a}={b}" for a, b in sorted(opts.items()))
-        parts.append(cross_validate(name, df, id_col, k, **opts).select(F.lit(label).alias("setting"), "*"))
+        parts.append(_score_folds(name, folded, id_col, k, opts).select(F.lit(label).alias("setting"), "*"))
     return reduce(DataFrame.unionByName, parts)

@@ -25,12 +25,13 @@ from pyspark.sql import types as T
 
 from loanlab.session import durable
 
-CELL_ROWS = 2_048        # wanted points per cell
+CELL_ROWS = 1_024        # wanted points per cell
 MAX_CELLS = 4_096        # bounds the box table: MAX_CELLS x dimensions x 2 doubles
 BLOCK_ROWS = 65_536      # most points, or queries, in one block
 SAMPLE_PER_CELL = 16
-_MATRIX_CELLS = 4_000_000
 DECIMALS = 6             # distances are compared at this precision, then by id
+_STEP = 10.0 ** -DECIMALS
+_MATRIX_CELLS = 500_000  # distances held at a time: a few megabytes per task
 
 
 # ---------------------------------------------------------------- space cells
@@ -104,27 +105,39 @@ def _boxes(points: DataFrame, dims: int, n_cells: int):
 
 # ---------------------------------------------------------------- block kernel
 
-def _block_best(q: np.ndarray, p: np.ndarray, k: int):
+def _block_best(q: np.ndarray, p: np.ndarray, k: int, bound: np.ndarray):
     """Row numbers (query, point) and distances of the k best points per query.
 
-    Points come sorted by id, so a smaller row number is a smaller id.
+    ``bound``: a distance known to hold k points already (infinite if unknown). Points come
+    sorted by id, so a smaller row number is a smaller id. Candidates are picked from
+    |q|^2 + |p|^2 - 2qp, widened by its error and by the rounding step; the distances that
+    are compared and returned are then computed directly, dimension by dimension.
     """
     qi, pi, dd = [], [], []
+    p_norm, p_t = (p * p).sum(axis=1), np.ascontiguousarray(p.T)
     step = max(1, _MATRIX_CELLS // max(1, len(p)))
     for s in range(0, len(q), step):
-        block = q[s:s + step]
-        d = np.zeros((len(block), len(p)))
+        block, reach = q[s:s + step], bound[s:s + step]
+        q_norm = (block * block).sum(axis=1)
+        near = block @ p_t
+        near *= -2.0
+        near += q_norm[:, None]
+        near += p_norm[None, :]
+        limit = reach * reach
+        if np.isinf(limit).any() and len(p) > k:
+            kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+            limit = np.minimum(limit, np.maximum(kth, 0.0))
+        error = 1e-12 * (q_norm + p_norm.max())
+        limit = limit + error + 4.0 * _STEP * (np.sqrt(np.where(np.isinf(limit), 0.0, limit) + error) + _STEP)
+        r, c = np.nonzero(near <= limit[:, None])
+        sq = np.zeros(len(r))
         for j in range(p.shape[1]):
-            diff = block[:, j, None] - p[None, :, j]
-            d += diff * diff
-        d = np.round(np.sqrt(d), DECIMALS)
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1] if len(p) > k else np.full(len(block), np.inf)
-        r, c = np.nonzero(d <= kth[:, None])
-        v = d[r, c]
+            diff = block[r, j] - p[c, j]
+            sq += diff * diff
+        v = np.round(np.sqrt(sq), DECIMALS)
         order = np.lexsort((c, v, r))
         r, c, v = r[order], c[order], v[order]
-        first = np.searchsorted(r, r, side="left")
-        keep = np.arange(len(r)) - first < k
+        keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
         qi.append(r[keep] + s), pi.append(c[keep]), dd.append(v[keep])
     return np.concatenate(qi), np.concatenate(pi), np.concatenate(dd)
 
@@ -147,8 +160,12 @@ def _block_join(queries: DataFrame, points: DataFrame, point_counts, query_count
     def every(table):
         return F.explode(F.sequence(F.lit(0), slices(table) - 1))
 
-    q = queries.select("id", "vec", "cell", own(q_slices).alias("qs"), every(p_slices).alias("ps"))
+    q = queries.select("id", "vec", "bound", "cell", own(q_slices).alias("qs"), every(p_slices).alias("ps"))
     p = points.select("id", "vec", "label", "cell", own(p_slices).alias("ps"), every(q_slices).alias("qs"))
+    # blocks are small in bytes and heavy in work, so partitions must not be merged by size
+    keys = ("cell", "ps", "qs")
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, p = q.repartition(n, *keys), p.repartition(n, *keys)
     schema = T.StructType([T.StructField("query_id", queries.schema["id"].dataType),
                            T.StructField("neighbor_id", points.schema["id"].dataType),
                            T.StructField("distance", T.DoubleType()),
@@ -159,11 +176,11 @@ def _block_join(queries: DataFrame, points: DataFrame, point_counts, query_count
             return pd.DataFrame({f.name: [] for f in schema})
         right = right.sort_values("id", kind="stable").reset_index(drop=True)
         ids = right["id"].to_numpy()
-        qi, pi, d = _block_best(_matrix(left["vec"]), _matrix(right["vec"]), k)
+        bound = left["bound"].fillna(np.inf).to_numpy(dtype=float)
+        qi, pi, d = _block_best(_matrix(left["vec"]), _matrix(right["vec"]), k, bound)
         return pd.DataFrame({"query_id": left["id"].to_numpy()[qi], "neighbor_id": ids[pi], "distance": d,
                              "label": right["label"].to_numpy()[pi]})
 
-    keys = ("cell", "ps", "qs")
     return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(best, schema)
 
 
@@ -211,34 +228,35 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, exclude_sel
     kk = k + 1 if exclude_self else k
     lo, hi, n_points = _boxes(points_c, facts["d"], cells.n)
     n_queries = {r["cell"]: r["n"] for r in asked_c.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    asked_c = asked_c.withColumn("bound", F.lit(None).cast("double"))
     near = _k_best(_block_join(asked_c, points_c, n_points, n_queries, kk), kk)
 
     if cells.n > 1:
         # one row per question: its vector, what it found at home, and the cells still to visit
         near = durable(near)
         found = near.groupBy("query_id").agg(F.count("*").alias("m"), F.max("distance").alias("far"))
-        state = durable(asked_c.join(found, F.col("id") == F.col("query_id"), "left").select(
-            "id", "vec", "cell", F.when(F.col("m") >= kk, F.col("far")).alias("bound")))
-        visit_schema = T.StructType([state.schema["id"], state.schema["vec"],
+        state = durable(asked_c.drop("bound").join(found, F.col("id") == F.col("query_id"), "left").select(
+            "id", "vec", "cell",
+            F.when(F.col("m") >= kk, F.col("far")).otherwise(F.lit(float("inf"))).alias("bound")))
+        visit_schema = T.StructType([state.schema["id"], state.schema["vec"], state.schema["bound"],
                                      T.StructField("cell", T.IntegerType())])
-        slack = 10.0 ** -DECIMALS
 
         def visits(batches):
             for pdf in batches:
                 if not len(pdf):
                     continue
                 x, home = _matrix(pdf["vec"]), pdf["cell"].to_numpy()
-                bound = pdf["bound"].fillna(np.inf).to_numpy(dtype=float)
+                bound = pdf["bound"].to_numpy(dtype=float)
                 step = max(1, _MATRIX_CELLS // (len(lo) * x.shape[1]))
                 for s in range(0, len(x), step):
                     b = x[s:s + step]
                     gap = np.maximum(np.maximum(lo[None] - b[:, None], b[:, None] - hi[None]), 0.0)
-                    reach = np.sqrt((gap * gap).sum(axis=2)) <= bound[s:s + step, None] + slack
+                    reach = np.sqrt((gap * gap).sum(axis=2)) <= bound[s:s + step, None] + 2.0 * _STEP
                     reach &= (n_points > 0)[None]
                     reach[np.arange(len(b)), home[s:s + step]] = False
                     r, c = np.nonzero(reach)
                     yield pd.DataFrame({"id": pdf["id"].to_numpy()[r + s], "vec": pdf["vec"].to_numpy()[r + s],
-                                        "cell": c.astype("int32")})
+                                        "bound": bound[r + s], "cell": c.astype("int32")})
 
         trips = state.mapInPandas(visits, visit_schema)
         n_trips = {r["cell"]: r["n"] for r in trips.groupBy("cell").agg(F.count("*").alias("n")).collect()}
