@@ -16,8 +16,11 @@ The k-d split is steered by a bounded sample of points; boxes are exact over all
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +28,9 @@ from pyspark.sql import types as T
 
 from loanlab.session import durable
 
+# the kernels travel inside the tasks: executors need numpy and pandas, not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CELL_ROWS = 1_024        # wanted points per cell
 MAX_CELLS = 4_096        # bounds the box table: MAX_CELLS x dimensions x 2 doubles
 BLOCK_ROWS = 65_536      # most points, or queries, in one block
