@@ -19,8 +19,8 @@ from loanlab.functions.scalars import (
 from loanlab.roles import Roles
 
 
-def table_summary(df: DataFrame, roles: Roles) -> DataFrame:
-    """(section, key, value): sizes, target distribution, missing count per column.
+def table_summary(df: DataFrame, roles: Roles, loaded_at: str | None = None) -> DataFrame:
+    """(section, key, value): sizes, target distribution, missing count per column, load time if given.
 
     One scan: the per-class partial result carries the missing counts as well.
     """
@@ -37,11 +37,15 @@ def table_summary(df: DataFrame, roles: Roles) -> DataFrame:
     target = F.array(F.struct(F.lit(roles.target).alias("key"), F.lit(None).cast("bigint").alias("value")))
     sections = by_class.agg(sizes.alias("size"), target.alias("target_column"),
                             classes.alias("target_distribution"), missing.alias("missing_values"))
+    names = ["size", "target_column", "target_distribution", "missing_values"]
+    if loaded_at is not None:
+        stamp = F.array(F.struct(F.lit(loaded_at).alias("key"), F.lit(None).cast("bigint").alias("value")))
+        sections, names = sections.withColumn("load_timestamp", stamp), names + ["load_timestamp"]
     def tag(name):
         return F.transform(name, lambda e: F.struct(F.lit(name).alias("section"), e["key"].alias("key"),
                                                     e["value"].alias("value")))
 
-    tagged = F.flatten(F.array(*[tag(s) for s in ("size", "target_column", "target_distribution", "missing_values")]))
+    tagged = F.flatten(F.array(*[tag(s) for s in names]))
     return sections.select(F.inline(tagged))
 
 

@@ -60,7 +60,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     Spark's reader knows one ``nullValue``; the whole token list is applied here, then the
     text columns are cast to the declared (or inferred) types.
     """
-    raw = spark.read.options(header=True, mode="PERMISSIVE", emptyValue="").csv(path)
+    raw = spark.read.options(header=True, emptyValue="", quote='"', escape='"').csv(path)
     raw = raw.select(*[
         F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns
     ])
