@@ -12,10 +12,12 @@ import logging
 import math
 import re
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
@@ -320,20 +322,32 @@ def train_model(name: str, train: DataFrame, test: DataFrame, id_col: str, featu
                         {m: row[m] for m in METRICS} if row else {})
 
 
+def _run_jobs(jobs, parallelism: int) -> list:
+    """Run independent Spark jobs, some at a time; results in the order given."""
+    if parallelism <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(parallelism) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 def train_models(train: DataFrame, test: DataFrame, id_col: str, feature_names=None, names=None,
-                 options: dict | None = None) -> tuple[dict, dict]:
+                 options: dict | None = None, parallelism: int = 1) -> tuple[dict, dict]:
     """Train several models. A failure is logged and reported, the others go on.
 
+    ``parallelism`` models are trained at a time; their train times then overlap.
     Returns ``({name: TrainedModel}, {name: error text})``.
     """
-    done, failed = {}, {}
-    for name in names or list(REGISTRY):
+    def attempt(name):
         try:
-            done[name] = train_model(name, train, test, id_col, feature_names, **(options or {}).get(name, {}))
+            return train_model(name, train, test, id_col, feature_names, **(options or {}).get(name, {})), None
         except Exception as exc:  # one learner must not stop the job
             log.error("error training %s: %s", name, exc)
-            failed[name] = str(exc)
-    return done, failed
+            return None, str(exc)
+
+    names = list(names or REGISTRY)
+    results = dict(zip(names, _run_jobs([partial(attempt, n) for n in names], parallelism)))
+    return ({n: m for n, (m, _) in results.items() if m is not None},
+            {n: e for n, (m, e) in results.items() if m is None})
 
 
 def metrics_table(spark: SparkSession, models: dict) -> DataFrame:
@@ -354,23 +368,24 @@ def predictions_table(models: dict) -> DataFrame:
     return reduce(DataFrame.unionByName, [m.predictions for m in models.values()])
 
 
-def cross_validate(name: str, df: DataFrame, id_col: str, k: int = CV_FOLDS, **options) -> DataFrame:
+def cross_validate(name: str, df: DataFrame, id_col: str, k: int = CV_FOLDS, parallelism: int = 1,
+                   **options) -> DataFrame:
     """(fold, metric, value): one fit per fold gives all five metrics."""
     if name not in REGISTRY:
         raise UnknownModel(f"unknown model: {name}")
-    return _score_folds(name, kfold(df, id_col, k=k).persist(), id_col, k, options)
-
-
-def _score_folds(name, folded: DataFrame, id_col: str, k: int, options: dict) -> DataFrame:
-    scored = []
-    for i in range(k):
-        model = fit_model(name, folded.filter(F.col("fold") != i).drop("fold"), id_col, **options)
-        part = predict(name, model, folded.filter(F.col("fold") == i).drop("fold"), id_col)
-        scored.append(part.withColumn("model_name", F.lit(str(i))))
+    folded = kfold(df, id_col, k=k).persist()
+    scored = _run_jobs([partial(_score_fold, name, folded, id_col, i, options) for i in range(k)], parallelism)
     by_fold = evaluate(reduce(DataFrame.unionByName, scored)).withColumnRenamed("model_name", "fold")
     return by_fold.unpivot(["fold"], list(METRICS), "metric", "value").withColumn("fold", F.col("fold").cast("int"))
 
 
+def _score_fold(name, folded: DataFrame, id_col: str, i: int, options: dict, tag: str | None = None) -> DataFrame:
+    """Predictions for one fold of a model fitted on the others, tagged in ``model_name``."""
+    model = fit_model(name, folded.filter(F.col("fold") != i).drop("fold"), id_col, **options)
+    part = predict(name, model, folded.filter(F.col("fold") == i).drop("fold"), id_col)
+    return part.withColumn("model_name", F.lit(tag or str(i)))
+
+
 def grid_options(name: str) -> list[dict]:
     """Parameter sets of a model's declared grid, as options of its learner.
 
@@ -397,10 +412,18 @@ def grid_options(name: str) -> list[dict]:
     return sets
 
 
-def tune(name: str, df: DataFrame, id_col: str, k: int = CV_FOLDS, sets=None) -> DataFrame:
-    """(setting, fold, metric, value) for every parameter set of the model's grid, on the same folds."""
-    folded, parts = kfold(df, id_col, k=k).persist(), []
-    for opts in sets if sets is not None else grid_options(name):
-        label = ", ".join(f"{a}={b}" for a, b in sorted(opts.items()))
-        parts.append(_score_folds(name, folded, id_col, k, opts).select(F.lit(label).alias("setting"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+def tune(name: str, df: DataFrame, id_col: str, k: int = CV_FOLDS, sets=None, parallelism: int = 1) -> DataFrame:
+    """(setting, fold, metric, value) for every parameter set of the model's grid, on the same folds.
+
+    All scored folds are evaluated in one pass, keyed by setting and fold.
+    """
+    folded = kfold(df, id_col, k=k).persist()
+    sets = list(sets if sets is not None else grid_options(name))
+    texts = [", ".join(f"{a}={b}" for a, b in sorted(opts.items())) for opts in sets]
+    jobs = [partial(_score_fold, name, folded, id_col, i, opts, f"{n}:{i}")
+            for n, opts in enumerate(sets) for i in range(k)]
+    scores = evaluate(reduce(DataFrame.unionByName, _run_jobs(jobs, parallelism)))
+    at = F.split("model_name", ":")
+    return scores.select(F.array(*[F.lit(t) for t in texts])[at[0].cast("int")].alias("setting"),
+                         at[1].cast("int").alias("fold"), *METRICS).unpivot(
+        ["setting", "fold"], list(METRICS), "metric", "value")

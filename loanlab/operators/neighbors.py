@@ -32,7 +32,7 @@ from loanlab.session import durable
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELL_ROWS = 1_024        # wanted points per cell
-MAX_CELLS = 4_096        # bounds the box table: MAX_CELLS x dimensions x 2 doubles
+MAX_CELLS = 16_384       # bounds the box table: MAX_CELLS x dimensions x 2 doubles
 BLOCK_ROWS = 65_536      # most points, or queries, in one block
 SAMPLE_PER_CELL = 16
 DECIMALS = 6             # distances are compared at this precision, then by id
@@ -151,23 +151,26 @@ def _block_best(q: np.ndarray, p: np.ndarray, k: int, bound: np.ndarray):
 def _block_join(queries: DataFrame, points: DataFrame, point_counts, query_counts, k: int) -> DataFrame:
     """k best points per (query, block): queries and points meet on (cell, slices)."""
     q_slices = {c: -(-n // BLOCK_ROWS) for c, n in query_counts.items()}
-    p_slices = {c: -(-int(n) // BLOCK_ROWS) for c, n in enumerate(point_counts) if n}
-
-    def slices(table):  # only cells with more than one slice need an entry
-        big = {c: n for c, n in table.items() if n > 1}
-        if not big:
-            return F.lit(1)
-        pairs = [F.lit(v) for c, n in big.items() for v in (int(c), int(n))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("cell")), F.lit(1))
-
-    def own(table):
-        return F.pmod(F.xxhash64("id"), slices(table)).cast("int")
-
-    def every(table):
-        return F.explode(F.sequence(F.lit(0), slices(table) - 1))
-
-    q = queries.select("id", "vec", "bound", "cell", own(q_slices).alias("qs"), every(p_slices).alias("ps"))
-    p = points.select("id", "vec", "label", "cell", own(p_slices).alias("ps"), every(q_slices).alias("qs"))
+    p_slices = {c: -(-int(n) // BLOCK_ROWS) for c, n in enumerate(point_counts)}
+
+    def with_slices(df):
+        for name, table in (("_q", q_slices), ("_p", p_slices)):
+            big = [(int(c), int(n)) for c, n in table.items() if n > 1]
+            if big:  # at most MAX_CELLS rows
+                look = df.sparkSession.createDataFrame(big, f"cell int, {name} int")
+                df = df.join(F.broadcast(look), "cell", "left").withColumn(name, F.coalesce(name, F.lit(1)))
+            else:
+                df = df.withColumn(name, F.lit(1))
+        return df
+
+    def own(n):
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    q = with_slices(queries).select("id", "vec", "bound", "cell", own("_q").alias("qs"), every("_p").alias("ps"))
+    p = with_slices(points).select("id", "vec", "label", "cell", own("_p").alias("ps"), every("_q").alias("qs"))
     # blocks are small in bytes and heavy in work, so partitions must not be merged by size
     keys = ("cell", "ps", "qs")
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -224,7 +227,7 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, exclude_sel
     if n_cells > 1:  # a fixed share by id hash, so a retried task picks the same rows
         share = min(1.0, room / facts["n"])
         picked = folded.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        sample = _matrix(pd.Series([r["vec"] for r in picked.select("vec").limit(2 * room).collect()]))
+        sample = _matrix(picked.select("vec").limit(2 * room).toPandas()["vec"])
     cells = _Cells(sample, n_cells)
     points_c = _with_cell(folded, cells)
     asked_c = _with_cell(asked, cells)

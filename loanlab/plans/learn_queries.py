@@ -84,11 +84,12 @@ _DISTANCE = " + ".join(f"(a.{n} - b.{n}) * (a.{n} - b.{n})" for n in FEATURE_NAM
 
 
 @query("m7_nearest_neighbours_score", loans_sql(f"""
-SELECT id, label, avg(neighbor_label) AS score, CASE WHEN avg(neighbor_label) > 0.5e0 THEN 1 ELSE 0 END AS prediction FROM (
-  SELECT a.app_id AS id, CAST(a.label AS INT) AS label, b.label AS neighbor_label,
-    row_number() OVER (PARTITION BY a.app_id ORDER BY round(sqrt({_DISTANCE}), 6), b.app_id) AS r
-  FROM (SELECT * FROM parted WHERE split = 'test') a JOIN (SELECT * FROM parted WHERE split = 'train') b ON a.split <> b.split)
-WHERE r <= 5 GROUP BY id, label""", *_PREPARED))
+SELECT id, label, list_avg(list_transform(best, lambda b: b.label)) AS score,
+  CASE WHEN list_avg(list_transform(best, lambda b: b.label)) > 0.5e0 THEN 1 ELSE 0 END AS prediction FROM (
+  SELECT a.app_id AS id, CAST(a.label AS INT) AS label,
+    min(struct_pack(d := round(sqrt({_DISTANCE}), 6), id := b.app_id, label := b.label), 5) AS best
+  FROM (SELECT * FROM parted WHERE split = 'test') a JOIN (SELECT * FROM parted WHERE split = 'train') b ON a.split <> b.split
+  GROUP BY a.app_id, a.label)""", *_PREPARED))
 def m7(spark, sf):
     train, test, _ = train_test(spark, sf)
     model = ml.fit_model("K-Nearest Neighbors", train, R.id)
@@ -132,7 +133,8 @@ SELECT model_name, model_name <> 'Unknown' AS trained, model_name = 'Decision Tr
 def m11(spark, sf):
     """A failing learner is reported and the others go on."""
     train, test, names = train_test(spark, sf)
-    done, failed = ml.train_models(train, test, R.id, names, ["Decision Tree", "Unknown", "Naive Bayes"])
+    done, failed = ml.train_models(train, test, R.id, names, ["Decision Tree", "Unknown", "Naive Bayes"],
+                                   parallelism=3)
     rows = [(n, True, m.importance is not None) for n, m in done.items()] + [(n, False, False) for n in failed]
     return spark.createDataFrame(rows, "model_name string, trained boolean, has_importance boolean")
 
@@ -162,7 +164,7 @@ def m13(spark, sf):
     f"SELECT CAST({i} AS INT) AS fold, '{m}' AS metric, TRUE AS in_range" for i in range(5) for m in ev.METRICS))
 def m14(spark, sf):
     train, _, _ = train_test(spark, sf)
-    return ml.cross_validate("Naive Bayes", train, R.id).select(
+    return ml.cross_validate("Naive Bayes", train, R.id, parallelism=4).select(
         "fold", "metric", F.col("value").between(0.0, 1.0).alias("in_range"))
 
 
@@ -170,7 +172,7 @@ def m14(spark, sf):
 def m15(spark, sf):
     """The logistic regression grid over two folds."""
     train, _, _ = train_test(spark, sf)
-    return ml.tune("Logistic Regression", train, R.id, k=2)
+    return ml.tune("Logistic Regression", train, R.id, k=2, parallelism=4)
 
 
 # ---------------------------------------------------------------- stored models
@@ -225,4 +227,4 @@ def t4(spark, sf):
     """The batch job end to end (oversampled, stored, reloaded), models by training time."""
     report = run_batch_job(spark, loan_applications(spark, sf), scratch_path(spark, "job"),
                            names=["Naive Bayes", "Decision Tree"])
-    return ev.by_train_time(ml.metrics_table(spark, report.models))
+    return report.run.train_times()

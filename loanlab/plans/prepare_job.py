@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlab.fixed_values import TEST_SIZE
+from loanlab.functions.scalars import nan_to_null
 from loanlab.operators import preprocess as pp
 from loanlab.operators import resample
 from loanlab.operators.outliers import METHODS as OUTLIER_METHODS
@@ -96,7 +97,7 @@ def prepare(df: DataFrame, roles: Roles = LOAN_ROLES, outliers: str = "clip", im
         raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
     if outliers not in OUTLIER_METHODS:
         raise ValueError(f"unknown outlier method: {outliers}")
-    pre, parted = Preprocessor(roles), None
+    df, pre, parted = nan_to_null(df), Preprocessor(roles), None
     if outliers == "remove":  # rows disappear, so this comes before any split
         df = pre.handle_outliers(df, "remove")
     fit_rows = df

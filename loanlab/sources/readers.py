@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from loanlab.fixed_values import NULL_TOKENS
 from loanlab.functions.scalars import nan_to_null
+from loanlab.operators import profile
 from loanlab.roles import LOAN_ROLES, LOAN_SCHEMA, Roles
 from loanlab.session import path_exists
 
@@ -26,11 +27,28 @@ class SchemaError(ValueError):
 
 @dataclass(frozen=True)
 class LoadedTable:
+    """A scanned table with its roles, and the profile reports of the overview page."""
+
     df: DataFrame
     roles: Roles
     path: str
     loaded_at: str
 
+    def summary(self) -> DataFrame:
+        return profile.table_summary(self.df, self.roles, self.loaded_at)
+
+    def feature_info(self, exact: bool = True) -> DataFrame:
+        return profile.feature_info(self.df, exact)
+
+    def numeric_stats(self) -> DataFrame:
+        return profile.describe_numeric(self.df, self.roles.present(self.df, self.roles.numeric))
+
+    def categorical_stats(self) -> DataFrame:
+        return profile.value_counts(self.df, self.roles.present(self.df, self.roles.categorical))
+
+    def target_analysis(self) -> DataFrame:
+        return profile.target_analysis(self.df, self.roles.target)
+
 
 def _infer_types(raw: DataFrame) -> T.StructType:
     """Types that every non-missing token of a column casts to: BIGINT, else DOUBLE, else STRING.

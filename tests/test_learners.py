@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loanlab import fixed_values as fv
 from loanlab.operators import evaluate as ev
 from loanlab.operators import learners as ml
+from loanlab.plans.model_run import ModelRun
 from loanlab.plans.prepare_job import NotFitted, Preprocessor, prepare
 from loanlab.plans.train_job import run_batch_job
 from loanlab.roles import LOAN_ROLES as R
@@ -145,16 +146,34 @@ def test_model_slug():
 def test_batch_job(spark, loans):
     out = scratch_path(spark, "job")
     report = run_batch_job(spark, loans, out, names=["Naive Bayes", "Decision Tree", "Nope"])
-    assert set(report.models) == {"Naive Bayes", "Decision Tree"} and set(report.failed) == {"Nope"}
+    assert set(report.run.models) == {"Naive Bayes", "Decision Tree"} and set(report.run.failed) == {"Nope"}
     back = results_store.load_results(spark, report.results_path)
     assert back.best == report.best == report.comparison.first()["model_name"]
     assert back.predictions.count() == 2 * 300
-    assert back.models["Decision Tree"].importance == report.models["Decision Tree"].importance
+    assert back.models["Decision Tree"].importance == report.run.models["Decision Tree"].importance
     rows, names = prepared_store.load_prepared(spark, report.prepared_path)
     train = {r["label"]: r["count"] for r in rows.filter("split = 'train'").groupBy("label").count().collect()}
     assert train[0.0] == train[1.0] and len(names) == 22
 
 
+def test_model_run_reports(spark, data):
+    train, test, names = data
+    run = ModelRun(spark, R.id, names)
+    assert run.comparison().count() == 0 and run.best() is None
+    run.train("Naive Bayes", train, test)
+    run.train_all(train, test, ["Decision Tree"])
+    assert run.comparison().count() == 2 and run.best() in run.models
+    assert run.confusion().count() == 2 and run.average_precision().count() == 2
+    assert run.roc_curve().filter("threshold = double('inf')").count() == 2
+    assert run.pr_curve().filter("threshold IS NULL").count() == 2
+    assert run.top_features(3).count() == 3 and run.importance().count() == len(names)
+    assert run.top_models(1).count() == 5 and run.train_times().count() == 2
+    path = run.save(scratch_path(spark, "run"))
+    other = ModelRun(spark, R.id)
+    assert other.load(path) and other.best() == run.best() and other.feature_names == list(names)
+    assert not other.load(path + "-absent")
+
+
 # ---------------------------------------------------------------- preprocessing job
 
 def test_prepare_equals_the_single_steps(loans):

@@ -46,6 +46,10 @@ def test_parquet_load(spark, loans):
     loans.write.parquet(path)
     loaded = load_table(spark, path)
     assert loaded.df.count() == loans.count() and loaded.loaded_at
+    stamps = loaded.summary().filter("section = 'load_timestamp'").collect()
+    assert [r["key"] for r in stamps] == [loaded.loaded_at]
+    assert loaded.numeric_stats().count() == 7 and loaded.target_analysis().count() == 2
+    assert loaded.categorical_stats().count() > 10 and loaded.feature_info().count() == len(loans.columns)
 
 
 def _plan(df):
