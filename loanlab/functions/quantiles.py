@@ -33,12 +33,19 @@ class _Range:
     rows: int
 
 
-def exact_quantiles(df: DataFrame, cols, probs, row_limit: int = ROW_LIMIT, bins: int = BINS) -> dict:
-    """``{column: [quantile per prob]}``; ``None`` for a column without values."""
+def exact_quantiles(df: DataFrame, cols, probs, row_limit: int = ROW_LIMIT, bins: int = BINS,
+                    at_most: int | None = None) -> dict:
+    """``{column: [quantile per prob]}``; ``None`` for a column without values.
+
+    ``at_most``: the table is known to have no more rows than this, which saves the pass
+    that counts them when the number is within ``row_limit``.
+    """
     cols, probs = list(cols), list(probs)
     if not cols:
         return {}
     x = {c: F.col(c).cast("double") for c in cols}
+    if at_most is not None and at_most <= row_limit:
+        return _in_one_pass(df, x, cols, probs)
     facts = df.agg(*[F.struct(F.count(c).alias("n"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(c)
                      for c in cols]).first()
     filled = [c for c in cols if facts[c]["n"]]
@@ -48,17 +55,43 @@ def exact_quantiles(df: DataFrame, cols, probs, row_limit: int = ROW_LIMIT, bins
         ranks = {min(math.floor(p * top) + step, top) for p in probs for step in (0, 1)}
         wanted[_Range(c, facts[c]["lo"], facts[c]["hi"], 0, facts[c]["n"])] = ranks
     at = _values_at(df, x, wanted, row_limit, bins)
-
-    out = {c: [None] * len(probs) for c in cols}
-    for c in filled:
-        top = facts[c]["n"] - 1
-        for i, p in enumerate(probs):
-            k = math.floor(p * top)
-            a, b = at[(c, k)], at[(c, min(k + 1, top))]
-            out[c][i] = a + (p * top - k) * (b - a)
+    return {c: _interpolate(lambda k: at[(c, k)], facts[c]["n"], probs) for c in cols}
+
+
+def _interpolate(value_at, n: int, probs) -> list:
+    out = []
+    for p in probs:
+        if not n:
+            out.append(None)
+            continue
+        k = math.floor(p * (n - 1))
+        a, b = value_at(k), value_at(min(k + 1, n - 1))
+        out.append(a + (p * (n - 1) - k) * (b - a))
     return out
 
 
+def _in_one_pass(df, x, cols, probs) -> dict:
+    """Running counts over the distinct values of every column of a small table."""
+    ranges = [_Range(c, 0.0, 0.0, 0, 0) for c in cols]
+    w = W.partitionBy("r")
+    counts = (_cells(df, x, ranges, lambda r, v: {"v": v}).groupBy("r", "v").agg(F.count("*").alias("n"))
+              .withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+              .withColumn("total", F.sum("n").over(w)))
+    low = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.floor(p * (F.col("total") - 1)))
+    below = F.col("upto") - F.col("n")
+    used = F.exists(low, lambda k: ((k >= below) & (k < F.col("upto"))) | ((k + 1 >= below) & (k + 1 < F.col("upto"))))
+    hits = {}
+    for h in counts.filter(used).select("r", "v", below.alias("below"), "upto", "total").collect():
+        hits.setdefault(cols[h["r"]], []).append(h)
+
+    def values(c):
+        held = hits.get(c, [])
+        return _interpolate(lambda k: next(h["v"] for h in held if h["below"] <= k < h["upto"]),
+                            held[0]["total"] if held else 0, probs)
+
+    return {c: values(c) for c in cols}
+
+
 def _values_at(df, x, wanted, row_limit, bins) -> dict:
     """``{(column, rank): value}`` for ``{range: ranks}``."""
     found = {}

@@ -16,10 +16,12 @@ from loanlab.roles import Roles
 METHODS = ("clip", "remove", "none")
 
 
-def fence_constants(df: DataFrame, cols, threshold: float = 1.5, row_limit: int = ROW_LIMIT) -> dict:
+def fence_constants(df: DataFrame, cols, threshold: float = 1.5, row_limit: int = ROW_LIMIT,
+                    at_most: int | None = None) -> dict:
     """``{column: {q1, median, q3, lower, upper}}``; columns without values are left out."""
     out = {}
-    for c, (q1, med, q3) in exact_quantiles(df, cols, [0.25, 0.5, 0.75], row_limit).items():
+    found = exact_quantiles(df, cols, [0.25, 0.5, 0.75], row_limit, at_most=at_most)
+    for c, (q1, med, q3) in found.items():
         if q1 is not None:
             iqr = q3 - q1
             out[c] = {"q1": q1, "median": med, "q3": q3,
@@ -90,8 +92,9 @@ def handle_outliers(df: DataFrame, roles: Roles, method: str = "clip", threshold
         for c, f in fences.items():
             note(f"Clipped outliers in {c}", {"lower_bound": f["lower"], "upper_bound": f["upper"]})
         return clip(df, fences)
+    rows = df.count()  # filters only make this smaller
     for c in cols:
-        f = fence_constants(df, [c], threshold).get(c)
+        f = fence_constants(df, [c], threshold, at_most=rows).get(c)
         if f is None:
             return df.filter(F.lit(False))
         df = df.filter(F.col(c).cast("double").between(f["lower"], f["upper"]))

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 
 from loanlab.fixed_values import CV_FOLDS, RANDOM_SEED, TEST_SIZE
 from loanlab.operators.neighbors import nearest_neighbors
-from loanlab.operators.selection import below, hash_cutoffs, hash_key, hash_unit, largest_remainder
+from loanlab.operators.selection import below, hash_cutoffs, hash_unit, largest_remainder
 
 METHODS = ("smote", "undersample", "none")
 

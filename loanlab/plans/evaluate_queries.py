@@ -9,7 +9,7 @@ from loanlab.operators import evaluate as ev
 from loanlab.operators.profile import correlation_matrix
 from loanlab.plans.registry import loans_sql, query
 from loanlab.plans.sql_parts import (
-    CONFUSION, CUMULATIVE, METRIC_CTES, METRICS, NUM, PREDICTIONS, AUC, corr_sql, union_all,
+    AUC, CONFUSION, CUMULATIVE, METRIC_CTES, NUM, PREDICTIONS, corr_sql, union_all,
 )
 from loanlab.roles import LOAN_ROLES as R
 from loanlab.sources.loan_applications import loan_applications

@@ -40,6 +40,13 @@ def test_quantiles_by_narrowing(six, limit, bins):
     assert q["x"] == [1.0, 2.125, 4.75, 10.0, 50.0]
 
 
+def test_quantiles_in_one_pass(six, spark):
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    wide = six.withColumn("empty", F.lit(None).cast("double")).withColumn("one", F.lit(4))
+    q = exact_quantiles(wide, ["x", "empty", "one"], probs, at_most=7)
+    assert q == {"x": [1.0, 2.125, 4.75, 10.0, 50.0], "empty": [None] * 5, "one": [4.0] * 5}
+
+
 def test_quantiles_of_a_column_that_is_mostly_one_value(spark):
     df = spark.range(9000).select(
         F.when(F.col("id") % 3 == 0, 5.0).otherwise((F.col("id") * 37 % 1000).cast("double")).alias("x"))
