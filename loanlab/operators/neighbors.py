@@ -208,16 +208,21 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, exclude_sel
     are Euclidean, rounded to 6 decimals; ties go to the smaller id. ``exclude_self``: a
     query does not find the point with its own id (queries and points share ids).
     """
+    among_themselves = queries is points
     if "label" not in points.columns:
         points = points.withColumn("label", F.lit(None).cast("double"))
-    vec = F.transform("vec", lambda v: v.cast("double"))
+    vec = F.col("vec").cast("array<double>")
     points, queries = points.withColumn("vec", vec), queries.withColumn("vec", vec)
 
     # fold copies: row_number <= k+1 is cut before the shuffle (window group limit)
     w = W.partitionBy("vec").orderBy("id")
-    folded = points.withColumn("_c", F.row_number().over(w)).filter(F.col("_c") <= k + 1).drop("_c")
-    asked = durable(queries.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"))
-    folded = durable(folded.select("id", "vec", "label"))
+    copies = durable(points.withColumn("_c", F.row_number().over(w)).filter(F.col("_c") <= k + 1)
+                     .select("id", "vec", "label", "_c"))
+    folded = copies.drop("_c")
+    if among_themselves:  # the first copy asks for all
+        asked = copies.filter(F.col("_c") == 1).select("id", "vec")
+    else:
+        asked = durable(queries.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"))
     facts = folded.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     if not facts["n"]:
         raise ValueError("no points to search")
