@@ -322,12 +322,12 @@ def train_model(name: str, train: DataFrame, test: DataFrame, id_col: str, featu
                         {m: row[m] for m in METRICS} if row else {})
 
 
-def _run_jobs(jobs, parallelism: int) -> list:
+def _run_jobs(spark: SparkSession, jobs, parallelism: int) -> list:
     """Run independent Spark jobs, some at a time; results in the order given."""
     if parallelism <= 1:
         return [job() for job in jobs]
     with ThreadPoolExecutor(parallelism) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
 def train_models(train: DataFrame, test: DataFrame, id_col: str, feature_names=None, names=None,
@@ -345,7 +345,7 @@ def train_models(train: DataFrame, test: DataFrame, id_col: str, feature_names=N
             return None, str(exc)
 
     names = list(names or REGISTRY)
-    results = dict(zip(names, _run_jobs([partial(attempt, n) for n in names], parallelism)))
+    results = dict(zip(names, _run_jobs(train.sparkSession, [partial(attempt, n) for n in names], parallelism)))
     return ({n: m for n, (m, _) in results.items() if m is not None},
             {n: e for n, (m, e) in results.items() if m is None})
 
@@ -374,7 +374,8 @@ def cross_validate(name: str, df: DataFrame, id_col: str, k: int = CV_FOLDS, par
     if name not in REGISTRY:
         raise UnknownModel(f"unknown model: {name}")
     folded = kfold(df, id_col, k=k).persist()
-    scored = _run_jobs([partial(_score_fold, name, folded, id_col, i, options) for i in range(k)], parallelism)
+    scored = _run_jobs(df.sparkSession, [partial(_score_fold, name, folded, id_col, i, options) for i in range(k)],
+                       parallelism)
     by_fold = evaluate(reduce(DataFrame.unionByName, scored)).withColumnRenamed("model_name", "fold")
     return by_fold.unpivot(["fold"], list(METRICS), "metric", "value").withColumn("fold", F.col("fold").cast("int"))
 
@@ -422,7 +423,7 @@ def tune(name: str, df: DataFrame, id_col: str, k: int = CV_FOLDS, sets=None, pa
     texts = [", ".join(f"{a}={b}" for a, b in sorted(opts.items())) for opts in sets]
     jobs = [partial(_score_fold, name, folded, id_col, i, opts, f"{n}:{i}")
             for n, opts in enumerate(sets) for i in range(k)]
-    scores = evaluate(reduce(DataFrame.unionByName, _run_jobs(jobs, parallelism)))
+    scores = evaluate(reduce(DataFrame.unionByName, _run_jobs(df.sparkSession, jobs, parallelism)))
     at = F.split("model_name", ":")
     return scores.select(F.array(*[F.lit(t) for t in texts])[at[0].cast("int")].alias("setting"),
                          at[1].cast("int").alias("fold"), *METRICS).unpivot(

@@ -18,7 +18,7 @@ from loanlab.session import path_exists
 
 log = logging.getLogger(__name__)
 
-DEFAULT_PATH = "data/credit_risk_dataset.csv"
+DEFAULT_PATH = "data/loan_applications.csv"
 
 
 class SchemaError(ValueError):
