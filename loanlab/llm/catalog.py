@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlab.llm import byte_bpe, sharding, simhash, token_counts, url_filters
+from loanlab.llm import (byte_bpe, decontamination, sharding, simhash, substring_dedup, token_counts,
+                         toxicity, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +49,22 @@ def op2(spark, sf_dir):
     return digests(byte_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=("doc_id", "lang"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                         (F.col("score") >= toxicity.threshold_of(model)).alias("over_language_threshold"))
+
+
+@query("op4_substring_dedup")
+def op4(spark, sf_dir):
+    return substring_dedup.remove_repeated(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", "n_sentences", "n_removed")
+
+
 _URL_ORACLE = r"""
 WITH rules(host, path, verdict) AS (VALUES ('net','/','block'), ('example.net','/en/','allow'),
                                            ('example.com','/de/','block'), ('org','/fr/','allow')),
@@ -106,3 +123,9 @@ SELECT doc_id, CAST(slot AS INTEGER) AS slot, shard FROM placed JOIN owner USING
 @query("op8_sharding", _SHARD_ORACLE)
 def op8(spark, sf_dir):
     return sharding.place(_table(spark, sf_dir, "documents"), SHARDS, size=TABLE_SIZE)
+
+
+@query("op10_decontamination")
+def op10(spark, sf_dir):
+    found = decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", F.size("tiles").alias("n_tiles"))

@@ -83,3 +83,32 @@ def map_texts(df: DataFrame, text: str, keep: Iterable[str], made: str,
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return inner.mapInArrow(run, schema)
+
+
+def flat_map_texts(df: DataFrame, text: str, keep: Iterable[str], made: str,
+                   start: Callable[[], Callable[[list[str]], tuple]]) -> DataFrame:
+    """As ``map_texts``, with any number of rows per text.
+
+    ``start()`` returns a function from a few texts to (row numbers, one array per made column).
+    """
+    result = T.StructType.fromDDL(made)
+    keep = kept(keep, result.names)
+    inner = df.select(*[col(k) for k in keep], text_of(text).alias("_text"))
+    schema = T.StructType([*inner.schema.fields[:-1], *result.fields])
+    width = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+        work = start()
+        kinds = [to_arrow_type(f.dataType) for f in result.fields]
+        names = [f.name for f in schema.fields]
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                rows, made_now = work(part.column(width).to_pylist())
+                rows = pa.array(rows, type=pa.int64())
+                arrays = [part.column(i).take(rows) for i in range(width)]
+                arrays += [pa.array(v, type=k) for v, k in zip(made_now, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return inner.mapInArrow(run, schema)
