@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlab.llm import (byte_bpe, decontamination, sharding, simhash, substring_dedup, token_counts,
+from loanlab.llm import (ann, byte_bpe, decontamination, sharding, simhash, substring_dedup, token_counts,
                          toxicity, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     found = decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", F.size("tiles").alias("n_tiles"))
+
+
+@query("op9_ann_prefix_forest")
+def op9(spark, sf_dir):
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
