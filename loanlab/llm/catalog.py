@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlab.llm import (ann, byte_bpe, decontamination, sharding, simhash, substring_dedup, token_counts,
+from loanlab.llm import (ann, byte_bpe, decontamination, html_extract, sharding, simhash, substring_dedup, token_counts,
                          toxicity, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,12 @@ def op5(spark, sf_dir):
     return url_filters.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+@query("op6_html_extract")
+def op6(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages)).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query("op7_token_counts")
 def op7(spark, sf_dir):
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
