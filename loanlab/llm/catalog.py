@@ -59,7 +59,47 @@ def op3(spark, sf_dir):
                          (F.col("score") >= toxicity.threshold_of(model)).alias("over_language_threshold"))
 
 
-@query("op4_substring_dedup")
+_SPAN_ORACLE = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(regexp_replace(coalesce(text, ''),
+    '([.!?][ \t\n\r\f\v]+|[ \t\r\f\v]*\n[ \t\n\r\f\v]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS pieces
+  FROM documents),
+worded AS (
+  SELECT *, list_transform(pieces, lambda p: regexp_extract_all(
+    translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\r\f\v]+')) AS words FROM cut),
+lines AS (
+  SELECT doc_id, text, pieces, list_transform(words, lambda w: array_to_string(w, ' ')) AS line,
+         list_transform(words, lambda w: len(w)) AS size FROM worded),
+one AS (
+  SELECT doc_id, i, sum(size[i]) OVER (PARTITION BY doc_id ORDER BY i) AS upto, size[i] AS n, len(size) AS total
+  FROM (SELECT doc_id, size, unnest(generate_series(1, len(size))) AS i FROM lines)),
+short3 AS (
+  SELECT a.doc_id, a.i AS s, a.i + 2 AS e, c.upto - a.upto + a.n AS w
+  FROM one a JOIN one c ON a.doc_id = c.doc_id AND c.i = a.i + 2),
+spans AS (
+  SELECT a.doc_id, a.i AS s, b.i AS e FROM one a JOIN one b ON a.doc_id = b.doc_id AND b.i IN (a.i, a.i + 1)
+    WHERE b.upto - a.upto + a.n >= 40
+  UNION SELECT doc_id, s, e FROM short3 WHERE w >= 20
+  UNION SELECT t.doc_id, t.s, min(b.i) FROM short3 t JOIN one a ON a.doc_id = t.doc_id AND a.i = t.s
+    JOIN one b ON b.doc_id = t.doc_id AND b.i > t.e AND b.upto - a.upto + a.n >= 20 WHERE t.w < 20 GROUP BY t.doc_id, t.s
+  UNION SELECT t.doc_id, max(a.i), t.e FROM short3 t JOIN one b ON b.doc_id = t.doc_id AND b.i = t.e
+    JOIN one a ON a.doc_id = t.doc_id AND a.i < t.s AND b.upto - a.upto + a.n >= 20 WHERE t.w < 20 GROUP BY t.doc_id, t.e),
+named AS (
+  SELECT doc_id, s, e, array_to_string(list_filter(line[s:e], lambda x: x <> ''), ' ') AS words
+  FROM spans JOIN lines USING (doc_id)),
+placed AS (SELECT *, min((doc_id, s)) OVER (PARTITION BY words) AS first FROM named),
+gone AS (
+  SELECT doc_id, list(DISTINCT i) AS places
+  FROM (SELECT doc_id, unnest(generate_series(s, e)) AS i FROM placed WHERE (doc_id, s) <> first) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN places IS NULL THEN text ELSE regexp_replace(array_to_string(list_filter(
+    list_transform(generate_series(1, len(pieces)), lambda i: CASE WHEN list_contains(places, i) THEN '' ELSE pieces[i] END),
+    lambda x: x <> ''), ''), '\s+$', '') END AS text,
+  CAST(len(pieces) AS INTEGER) AS n_sentences, CAST(coalesce(len(places), 0) AS INTEGER) AS n_removed
+FROM lines LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op4_substring_dedup", _SPAN_ORACLE)
 def op4(spark, sf_dir):
     return substring_dedup.remove_repeated(_table(spark, sf_dir, "documents")).select(
         "doc_id", "text", "n_sentences", "n_removed")
