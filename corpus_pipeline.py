@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlab.llm import byte_bpe, decontamination, simhash, substring_dedup, toxicity
+from loanlab.llm.common import col
 from loanlab.session import scratch_path
 
 
@@ -34,7 +35,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind))
                              .otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return cut.select(*[col(c) for c in docs.columns])
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

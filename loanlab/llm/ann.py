@@ -59,9 +59,9 @@ def _matrix(column) -> np.ndarray:
 class Forest:
     """Projections and, once counted, the directory of all trees."""
 
-    def __init__(self, dims: int, trees: int, norm: float, seed: int = 5):
+    def __init__(self, dims: int, trees: int, norm: float, top: int = TOP, slice_rows: int = SLICE, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.trees, self.norm = trees, norm
+        self.trees, self.norm, self.top, self.slice_rows = trees, norm, top, slice_rows
         self.planes = rng.normal(size=(dims + 1, trees * BITS))
         self.below = None  # items before each TOP-bit prefix, per tree
         self.hits = 0
@@ -77,22 +77,22 @@ class Forest:
         return bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
     def count(self, tree, depth, prefix) -> np.ndarray:
-        low = prefix << (TOP - depth)
-        return self.below[tree, low + (np.int64(1) << (TOP - depth))] - self.below[tree, low]
+        low = prefix << (self.top - depth)
+        return self.below[tree, low + (np.int64(1) << (self.top - depth))] - self.below[tree, low]
 
     def depths(self, codes: np.ndarray) -> np.ndarray:
         """Longest common prefix length at which all trees together hold enough items."""
         out, tree = np.zeros(len(codes), np.int64), np.arange(self.trees)
-        for depth in range(1, TOP + 1):
+        for depth in range(1, self.top + 1):
             held = self.count(tree, depth, codes >> (BITS - depth)).sum(axis=1)
             out[held >= self.hits] = depth
         return out
 
     def unit(self, tree, depth, prefix) -> np.ndarray:
-        return (tree * (TOP + 1) + depth) << TOP | prefix
+        return (tree * (self.top + 1) + depth) << self.top | prefix
 
     def slices(self, tree, depth, prefix) -> np.ndarray:
-        return np.maximum(1, -(-self.count(tree, depth, prefix) // SLICE))
+        return np.maximum(1, -(-self.count(tree, depth, prefix) // self.slice_rows))
 
 
 _UNIT = "unit bigint, slice int, query boolean, code bigint, id bigint"
@@ -109,7 +109,7 @@ def _routed(forest, ids, vectors, codes, rows, trees, depths, slices, query):
         names=["unit", "slice", "query", "code", "id", "vector"])
 
 
-def _search(items: tuple, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, deep: int, k: int) -> Iterator:
+def _search(items: tuple, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, deep: int, k: int, top: int) -> Iterator:
     """The best k items (more on ties) of one slice for every query, as arrays (query, item, score).
 
     ``deep``: items wanted by a further descent in the sorted codes, 0 if the unit is wanted whole.
@@ -122,7 +122,7 @@ def _search(items: tuple, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarra
         if deep:
             low, high = np.zeros(len(mine), np.int64), np.full(len(mine), len(item_ids))
             done = np.zeros(len(mine), bool)
-            for depth in range(BITS, TOP, -1):
+            for depth in range(BITS, top, -1):
                 shift = BITS - depth
                 floor = codes[a:a + step] >> shift << shift
                 lo, hi = np.searchsorted(item_codes, floor), np.searchsorted(item_codes, floor + (1 << shift))
@@ -149,7 +149,8 @@ def _valid(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding",
-            trees: int = TREES, share: float = SHARE, min_hits: int = MIN_HITS) -> DataFrame:
+            trees: int = TREES, share: float = SHARE, min_hits: int = MIN_HITS, top: int = TOP,
+            slice_rows: int = SLICE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for every query row.
 
     ``is_query`` is a condition on the column ``id``.
@@ -166,23 +167,23 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     result = "query_id bigint, rank int, vec_id bigint, score double"
     if not shape["n"]:
         return spark.createDataFrame([], result)
-    forest = Forest(shape["d"], trees, shape["norm"])
+    forest = Forest(shape["d"], trees, shape["norm"], top, slice_rows)
     sent = sc.broadcast(forest)
 
     def tally(batches):
         own = sent.value
         for batch in batches:
-            codes = own.codes(_matrix(batch.column(0)), True) >> (BITS - TOP)
-            flat = (codes + (np.arange(own.trees, dtype=np.int64) << TOP)).ravel()
+            codes = own.codes(_matrix(batch.column(0)), True) >> (BITS - own.top)
+            flat = (codes + (np.arange(own.trees, dtype=np.int64) << own.top)).ravel()
             slots, n = np.unique(flat, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n)], names=["slot", "n"])
 
-    # trees x 2^TOP rows at most
+    # trees x 2^top rows at most
     counted = items.select("vector").mapInArrow(tally, "slot bigint, n bigint").groupBy("slot").agg(
         F.sum("n").alias("n")).toArrow()
-    table = np.zeros((trees, (1 << TOP) + 1), np.int64)
+    table = np.zeros((trees, (1 << top) + 1), np.int64)
     slots = counted["slot"].to_numpy()
-    table[slots >> TOP, (slots & (1 << TOP) - 1) + 1] = counted["n"].to_numpy()
+    table[slots >> top, (slots & (1 << top) - 1) + 1] = counted["n"].to_numpy()
     forest.below = np.cumsum(table, axis=1)
     forest.hits = max(min_hits, int(share * shape["n"]))
     known = sc.broadcast(forest)
@@ -214,7 +215,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
                               depth[spread], piece, True)
 
     probes = durable(queries.mapInArrow(ask, unit_schema))
-    used = sorted(r[0] for r in probes.select(F.shiftright("unit", TOP) % (TOP + 1)).distinct().collect())
+    used = sorted(r[0] for r in probes.select(F.shiftright("unit", top) % (top + 1)).distinct().collect())
 
     def offer(batches):
         own = known.value
@@ -249,13 +250,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
                     held, parts = tuple(np.concatenate(x) for x in zip(*parts)), []
                 if held is None:
                     continue
-                depth = (int(unit[a]) >> TOP) % (TOP + 1)
+                depth = (int(unit[a]) >> own.top) % (own.top + 1)
                 deep = 0
-                if depth == TOP:
-                    tree = (int(unit[a]) >> TOP) // (TOP + 1)
-                    n = int(own.slices(tree, depth, int(unit[a]) & (1 << TOP) - 1))
+                if depth == own.top:
+                    tree = (int(unit[a]) >> own.top) // (own.top + 1)
+                    n = int(own.slices(tree, depth, int(unit[a]) & (1 << own.top) - 1))
                     deep = max(k + 1, -(-own.hits // (own.trees * n)))
-                for q, i, s in _search(held, ids, codes, vectors, deep, k + 1):
+                for q, i, s in _search(held, ids, codes, vectors, deep, k + 1, own.top):
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["q", "i", "s"])
 
     offered = items.select("id", "vector").mapInArrow(offer, unit_schema)

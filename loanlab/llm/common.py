@@ -56,6 +56,17 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: inside, columns go by position."""
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    out = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain)
+    return out.toDF(*schema.names)
+
+
+def batch_of(arrays: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
+
+
 def map_texts(df: DataFrame, text: str, keep: Iterable[str], made: str,
               start: Callable[[], Callable[[list[str]], list[list]]]) -> DataFrame:
     """Kept columns plus the columns ``made`` (a DDL string), computed from whole texts.
@@ -73,16 +84,15 @@ def map_texts(df: DataFrame, text: str, keep: Iterable[str], made: str,
         from pyspark.sql.pandas.types import to_arrow_type
         work = start()
         kinds = [to_arrow_type(f.dataType) for f in result.fields]
-        names = [f.name for f in schema.fields]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 made_now = work(part.column(width).to_pylist())
                 arrays = [part.column(i) for i in range(width)]
                 arrays += [pa.array(v, type=k) for v, k in zip(made_now, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                yield batch_of(arrays)
 
-    return inner.mapInArrow(run, schema)
+    return map_arrow(inner, run, schema)
 
 
 def flat_map_texts(df: DataFrame, text: str, keep: Iterable[str], made: str,
@@ -101,7 +111,6 @@ def flat_map_texts(df: DataFrame, text: str, keep: Iterable[str], made: str,
         from pyspark.sql.pandas.types import to_arrow_type
         work = start()
         kinds = [to_arrow_type(f.dataType) for f in result.fields]
-        names = [f.name for f in schema.fields]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
@@ -109,6 +118,6 @@ def flat_map_texts(df: DataFrame, text: str, keep: Iterable[str], made: str,
                 rows = pa.array(rows, type=pa.int64())
                 arrays = [part.column(i).take(rows) for i in range(width)]
                 arrays += [pa.array(v, type=k) for v, k in zip(made_now, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                yield batch_of(arrays)
 
-    return inner.mapInArrow(run, schema)
+    return map_arrow(inner, run, schema)

@@ -37,7 +37,7 @@ ship(__name__)
 
 FIT_PAGES = 60        # pages that are learned from
 FIT_CHARS = 20_000    # longer pages are not learned from; they are extracted whole like all others
-LAYOUTS = 16          # further layouts of each
+LAYOUTS = 24          # further layouts of each
 EPOCHS, RATE, DECAY = 20, 0.05, 1e-5
 
 # fixed values: containers of main text, and of what is set apart, in the naming of common page templates
@@ -198,7 +198,8 @@ def _aside(rng, words: list[str]) -> str:
     elif kind == 2:
         inner = f"<p>&copy; {say(rng.integers(2, 8))}</p>"
     elif kind == 3:
-        inner = f"<h3>{say(2)}</h3>" + "".join(f"<p>{say(rng.integers(5, 40))}.</p>" for _ in range(rng.integers(1, 4)))
+        heading = f"h{rng.integers(1, 5)}"
+        inner = f"<{heading}>{say(rng.integers(1, 5))}</{heading}>" + "".join(f"<p>{say(rng.integers(5, 40))}.</p>" for _ in range(rng.integers(0, 4)))
     else:
         inner = f"<div>{say(rng.integers(3, 30))}. <a href='/'>{say(2)}</a></div>"
     return _wrap(container, inner)
@@ -240,10 +241,10 @@ def train(pages: list[str], seed: int = 17) -> Chain:
     data = []
     for page in pages or [""]:
         rows = labelled(page)
-        texts = [t for _, main, t in rows if main] or [" ".join(PLAIN)] * 3
+        texts = [t for _, main, t in rows if main] or [" ".join(PLAIN[:2]), *[" ".join(PLAIN)] * 3]
         if any(main for _, main, _ in rows):
             data.append([(marks, main) for marks, main, _ in rows])
-        for _ in range(LAYOUTS if pages else 10 * LAYOUTS):
+        for _ in range(LAYOUTS if pages else 20 * LAYOUTS):
             some = texts[:1] + [texts[i] for i in sorted(rng.integers(len(texts), size=rng.integers(1, 12)))]
             data.append(laid_out(some, rng))
     return Chain().fit(data)

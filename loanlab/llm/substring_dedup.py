@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlab.llm.common import ROWS_AT_ONCE, col, flat_map_texts, fresh, kept, ship, text_of
+from loanlab.llm.common import ROWS_AT_ONCE, batch_of, col, flat_map_texts, fresh, kept, map_arrow, ship, text_of
 from loanlab.session import durable
 
 ship(__name__)
@@ -147,9 +147,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 arrays = [part.column(i) for i in range(len(names))]
                 arrays[at] = pa.array(texts, type=pa.string())
                 arrays += [pa.array(totals, type=pa.int32()), pa.array(removed, type=pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                yield batch_of(arrays)
 
-    return marked.mapInArrow(run, schema)
+    return map_arrow(marked, run, schema)
 
 
 def _attach(docs: DataFrame, lists: DataFrame, id_col: str, text: str, own: str, codes: str) -> DataFrame:
