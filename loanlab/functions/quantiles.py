@@ -6,7 +6,8 @@ range is cut into bins, the rows per bin are counted (partial counts first, so a
 sends at most the bins), and only the bin that holds the rank is cut again. A range that
 holds few rows is finished by counting its distinct values; a range that holds a single
 value, however many copies, is finished at once. Each pass reads the column once and
-narrows the range by the number of bins, so a handful of passes serve any table.
+narrows the range by the number of bins, so a handful of passes serve any table. Infinite
+values are counted apart and stand at both ends; only finite ranges are cut.
 """
 
 from __future__ import annotations
@@ -46,15 +47,22 @@ def exact_quantiles(df: DataFrame, cols, probs, row_limit: int = ROW_LIMIT, bins
     x = {c: F.col(c).cast("double") for c in cols}
     if at_most is not None and at_most <= row_limit:
         return _in_one_pass(df, x, cols, probs)
-    facts = df.agg(*[F.struct(F.count(c).alias("n"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(c)
-                     for c in cols]).first()
-    filled = [c for c in cols if facts[c]["n"]]
-    wanted = {}
-    for c in filled:
-        top = facts[c]["n"] - 1
-        ranks = {min(math.floor(p * top) + step, top) for p in probs for step in (0, 1)}
-        wanted[_Range(c, facts[c]["lo"], facts[c]["hi"], 0, facts[c]["n"])] = ranks
-    at = _values_at(df, x, wanted, row_limit, bins)
+    inf = float("inf")
+    finite = {c: F.when(F.abs(x[c]) < inf, x[c]) for c in cols}
+    facts = df.agg(*[F.struct(F.count(c).alias("n"), F.count_if(x[c] == -inf).alias("low"),
+                              F.count(finite[c]).alias("mid"), F.min(finite[c]).alias("lo"),
+                              F.max(finite[c]).alias("hi")).alias(c) for c in cols]).first()
+    wanted, at = {}, {}
+    for c in cols:
+        f = facts[c]
+        top = f["n"] - 1
+        ranks = {min(math.floor(p * top) + step, top) for p in probs for step in (0, 1)} if f["n"] else set()
+        at.update({(c, k): -inf if k < f["low"] else inf for k in ranks
+                   if not f["low"] <= k < f["low"] + f["mid"]})
+        inner = {k for k in ranks if (c, k) not in at}
+        if inner:
+            wanted[_Range(c, f["lo"], f["hi"], f["low"], f["mid"])] = inner
+    at.update(_values_at(df, x, wanted, row_limit, bins))
     return {c: _interpolate(lambda k: at[(c, k)], facts[c]["n"], probs) for c in cols}
 
 
@@ -66,7 +74,7 @@ def _interpolate(value_at, n: int, probs) -> list:
             continue
         k = math.floor(p * (n - 1))
         a, b = value_at(k), value_at(min(k + 1, n - 1))
-        out.append(a + (p * (n - 1) - k) * (b - a))
+        out.append(a if a == b else a + (p * (n - 1) - k) * (b - a))
     return out
 
 
@@ -145,7 +153,10 @@ def _narrow(df, x, wanted, bins) -> dict:
         for row in by_range[i]:
             held = {k for k in left if k < below + row["n"]}
             if held:
-                out[_Range(r.col, row["lo"], row["hi"], below, row["n"])] = held
+                part = _Range(r.col, row["lo"], row["hi"], below, row["n"])
+                if (part.lo, part.hi) == (r.lo, r.hi):
+                    raise RuntimeError(f"the search for quantiles of {r.col} does not narrow {r.lo} .. {r.hi}")
+                out[part] = held
                 left = [k for k in left if k not in held]
             below += row["n"]
     return out

@@ -6,8 +6,6 @@ partial aggregates. Inputs mark missing values with NULL (see ``nan_to_null``).
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,21 +30,21 @@ def table_summary(df: DataFrame, roles: Roles, loaded_at: str | None = None) ->
         ("total_records", F.sum("n")), ("total_features", F.lit(len(df.columns))),
         ("numerical_features", F.lit(len(roles.numeric))),
         ("categorical_features", F.lit(len(roles.categorical))))])
-    classes = F.filter(F.collect_list(F.struct(F.col("k").alias("key"), F.col("n").alias("value"))),
-                       lambda s: s["key"].isNotNull())
     target = F.array(F.struct(F.lit(roles.target).alias("key"), F.lit(None).cast("bigint").alias("value")))
-    sections = by_class.agg(sizes.alias("size"), target.alias("target_column"),
-                            classes.alias("target_distribution"), missing.alias("missing_values"))
-    names = ["size", "target_column", "target_distribution", "missing_values"]
+    sections = by_class.agg(sizes.alias("size"), target.alias("target_column"), missing.alias("missing_values"))
+    names = ["size", "target_column", "missing_values"]
     if loaded_at is not None:
         stamp = F.array(F.struct(F.lit(loaded_at).alias("key"), F.lit(None).cast("bigint").alias("value")))
         sections, names = sections.withColumn("load_timestamp", stamp), names + ["load_timestamp"]
+
     def tag(name):
         return F.transform(name, lambda e: F.struct(F.lit(name).alias("section"), e["key"].alias("key"),
                                                     e["value"].alias("value")))
 
     tagged = F.flatten(F.array(*[tag(s) for s in names]))
-    return sections.select(F.inline(tagged))
+    classes = by_class.filter(F.col("k").isNotNull()).select(
+        F.lit("target_distribution").alias("section"), F.col("k").alias("key"), F.col("n").alias("value"))
+    return sections.select(F.inline(tagged)).unionByName(classes)
 
 
 def feature_dictionary(spark) -> DataFrame:
@@ -116,14 +114,13 @@ def target_analysis(df: DataFrame, target: str) -> DataFrame:
     label = F.lit(None).cast("string")
     for k, text in fv.CLASS_LABELS.items():
         label = F.when(F.col("class") == k, text).otherwise(label)
-    # the class table is tiny, so its totals travel with it as one row
-    one = counts.agg(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "n"))).alias("rows"),
-                     F.min(known).alias("lo"), F.max(known).alias("hi"), F.sum("n").alias("t"))
-    return (one.select(F.inline("rows"), "lo", "hi", "t")
-            .select("class", label.alias("label"), "n", percent(F.col("n"), F.col("t")).alias("percent"),
-                    ratio(F.col("lo"), F.col("hi")).alias("imbalance_ratio"),
-                    (ratio(F.col("lo"), F.col("hi")) < 0.5).alias("is_imbalanced"),
-                    F.col("t").alias("total_samples")))
+    # the totals are one row, taken as a scalar, so a target of many values stays spread out
+    one = counts.agg(F.struct(F.min(known).alias("lo"), F.max(known).alias("hi"), F.sum("n").alias("t")).alias("s")).scalar()
+    return (counts.filter(F.col("class").isNotNull()).withColumn("s", one)
+            .select("class", label.alias("label"), "n", percent(F.col("n"), F.col("s.t")).alias("percent"),
+                    ratio(F.col("s.lo"), F.col("s.hi")).alias("imbalance_ratio"),
+                    (ratio(F.col("s.lo"), F.col("s.hi")) < 0.5).alias("is_imbalanced"),
+                    F.col("s.t").alias("total_samples")))
 
 
 def headline_metrics(df: DataFrame, roles: Roles) -> DataFrame:
@@ -187,43 +184,34 @@ def default_rate_by_category(df: DataFrame, roles: Roles, cols=None) -> DataFram
             .orderBy("feature", F.desc("default_rate"), "value"))
 
 
+GAPS_AT_ONCE = 12  # columns with gaps whose null patterns (2^12 at most) are told apart in one pass
+
+
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     """Pairwise-complete Pearson correlation, melted to (x, y, corr); NULL for a constant side.
 
-    Rows are grouped by which columns they have (few patterns in practice, 2^columns at
-    most), because inside one pattern every pair sees the same rows. One pass then needs
-    plain sums only: per column and per pair of columns, not per pair and column, which
-    keeps the aggregate small enough for generated code. Values are taken relative to a
-    typical value of their column, so that the sums of squares do not cancel.
+    Rows are grouped by which of the columns with gaps they have, because inside one pattern
+    every pair sees the same rows. One pass then needs plain sums only: per column and per
+    pair of columns, not per pair and column, which keeps the aggregate small enough for
+    generated code. With more than ``GAPS_AT_ONCE`` such columns, the columns are cut into
+    groups and every two groups get a pass of their own, so the patterns stay bounded. Values
+    are taken relative to the mean of their column, so that the sums of squares do not cancel.
     """
     cols = list(cols)
     k = len(cols)
-    near = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).limit(101).collect()
-    seen = {c: sorted(r[c] for r in near if r[c] is not None) for c in cols}
-    typical = {c: v[len(v) // 2] if v else 0.0 for c, v in seen.items()}
-    raw = [F.col(c).cast("double") for c in cols]
-    shifted = df.select(
-        sum((F.when(x.isNotNull(), 1 << i).otherwise(0) for i, x in enumerate(raw)), F.lit(0)).alias("has"),
-        *[(x - F.lit(typical[c])).alias(f"x{i}") for i, (c, x) in enumerate(zip(cols, raw))])
-    order = list(combinations(range(k), 2))
-
-    def sums(one):
-        return F.expr("array(" + ", ".join(one(i) for i in range(k)) + ")")
-
-    per_pattern = shifted.groupBy("has").agg(
-        F.count("*").cast("double").alias("n"), sums(lambda i: f"sum(x{i})").alias("s"),
-        sums(lambda i: f"sum(x{i} * x{i})").alias("q"), sums(lambda i: f"min(x{i})").alias("lo"),
-        sums(lambda i: f"max(x{i})").alias("hi"),
-        F.expr("array(" + ", ".join(f"sum(x{i} * x{j})" for i, j in order) + ")").alias("p")
-        if order else F.expr("array(cast(null as double))").alias("p"))
-
-    # one row per pattern and pair the pattern can serve, then one row per pair
-    pair_rows = ", ".join(f"struct({i} AS i, {j} AS j, {n} AS at)" for n, (i, j) in enumerate(order))
-    own_rows = ", ".join(f"struct({i} AS i, {i} AS j, -1 AS at)" for i in range(k))
-    rows = per_pattern.select("*", F.expr(f"inline(array({own_rows}{', ' if order else ''}{pair_rows}))"))
-    rows = rows.filter("(has & shiftleft(1, i)) <> 0 AND (has & shiftleft(1, j)) <> 0").select(
-        "i", "j", "n", *[F.col(a)[F.col(b)].alias(f"{a}{b}") for a in ("s", "q", "lo", "hi") for b in ("i", "j")],
-        F.when(F.col("at") >= 0, F.get("p", F.col("at"))).otherwise(F.col("q")[F.col("i")]).alias("p"))
+    raw = [F.col(f"`{c}`").cast("double") for c in cols]
+    finite = [F.when(F.abs(x) < float("inf"), x) for x in raw]
+    facts = df.agg(F.count("*").alias("n"), F.array(*[F.count(x) for x in raw]).alias("has"),
+                   F.array(*[F.coalesce(F.avg(x), F.lit(0.0)) for x in finite]).alias("mean")).first()
+    gaps = {i for i in range(k) if facts["has"][i] < facts["n"]}
+    size = k if len(gaps) <= GAPS_AT_ONCE else GAPS_AT_ONCE // 2
+    groups = [range(a, min(a + size, k)) for a in range(0, k, size)] if k else []
+    rows = None
+    for g, one in enumerate(groups):
+        for two in groups[g:]:
+            part = _pair_sums(df, raw, facts["mean"], sorted({*one, *two}), gaps,
+                              [(i, j) for i in one for j in two if i <= j])
+            rows = part if rows is None else rows.unionByName(part)
     total = rows.groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "p", "si", "sj", "qi", "qj")],
         (F.min("loi") < F.max("hii")).alias("vi"), (F.min("loj") < F.max("hij")).alias("vj"))
@@ -233,14 +221,43 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
                   F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.try_divide(cov, scale)))
     name = F.array(*[F.lit(c) for c in cols])
     # every cell of the matrix, also where no row has both columns
-    grid = F.expr("inline(array(" + ", ".join(
-        f"struct({min(a, b)} AS i, {max(a, b)} AS j, {a} AS a, {b} AS b)" for a in range(k) for b in range(k)) + "))")
-    cells = df.sparkSession.range(1).select(grid)
+    cells = df.sparkSession.range(k).selectExpr("cast(id as int) a", f"explode(sequence(0, {k - 1})) b").selectExpr(
+        "a", "b", "least(a, b) i", "greatest(a, b) j")
     found = total.select("i", "j", corr.alias("corr"))  # one row per pair of columns
     return cells.join(F.broadcast(found), ["i", "j"], "left").select(
         name[F.col("a")].alias("x"), name[F.col("b")].alias("y"), "corr")
 
 
+def _pair_sums(df: DataFrame, raw: list, means: list, used: list[int], gaps: set, pairs: list) -> DataFrame:
+    """(i, j, n, sums of both and of their product), one row per null pattern that serves the pair."""
+    at = {i: n for n, i in enumerate(used)}
+    bit = {i: n for n, i in enumerate(i for i in used if i in gaps)}
+    shifted = df.select(
+        sum((F.when(raw[i].isNotNull(), 1 << n).otherwise(0) for i, n in bit.items()), F.lit(0)).alias("has"),
+        *[(raw[i] - F.lit(means[i])).alias(f"x{i}") for i in used])
+
+    def sums(one):
+        return F.expr("array(" + ", ".join(one(i) for i in used) + ")")
+
+    order = [(i, j) for i, j in pairs if i < j]
+    per_pattern = shifted.groupBy("has").agg(
+        F.count("*").cast("double").alias("n"), sums(lambda i: f"sum(x{i})").alias("s"),
+        sums(lambda i: f"sum(x{i} * x{i})").alias("q"), sums(lambda i: f"min(x{i})").alias("lo"),
+        sums(lambda i: f"max(x{i})").alias("hi"),
+        F.expr("array(" + ", ".join(f"sum(x{i} * x{j})" for i, j in order) + ")").alias("p")
+        if order else F.expr("array(cast(null as double))").alias("p"))
+    # one row per pattern and pair the pattern can serve
+    place = {pair: n for n, pair in enumerate(order)}
+    need = [(i, j, at[i], at[j], place.get((i, j), -1),
+             (1 << bit[i] if i in bit else 0) | (1 << bit[j] if j in bit else 0)) for i, j in pairs]
+    rows = per_pattern.select("*", F.expr("inline(array(" + ", ".join(
+        f"struct({i} AS i, {j} AS j, {a} AS ai, {b} AS aj, {n} AS at, {m} AS need)" for i, j, a, b, n, m in need) + "))"))
+    rows = rows.filter("(has & need) = need")
+    return rows.select(
+        "i", "j", "n", *[F.col(v)[F.col(f"a{w}")].alias(f"{v}{w}") for v in ("s", "q", "lo", "hi") for w in ("i", "j")],
+        F.when(F.col("at") >= 0, F.get("p", F.col("at"))).otherwise(F.col("q")[F.col("ai")]).alias("p"))
+
+
 def histogram_by_class(df: DataFrame, roles: Roles, cols=None, bins: int = 20) -> DataFrame:
     """(feature, class, bin, lo, hi, n): equal-width bins over the column's range."""
     cols = list(cols or roles.present(df, roles.numeric))

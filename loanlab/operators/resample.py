@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 
 from loanlab.fixed_values import CV_FOLDS, RANDOM_SEED, TEST_SIZE
 from loanlab.operators.neighbors import nearest_neighbors
+from loanlab.operators.ranking import running_totals
 from loanlab.operators.selection import below, hash_cutoffs, hash_unit, largest_remainder
 
 METHODS = ("smote", "undersample", "none")
@@ -94,29 +95,39 @@ def smote(df: DataFrame, id_col: str, label: str = "label", features: str = "fea
     Each synthetic row lies on the segment from a base row to one of its k nearest rows of
     the same class. Draws are spread evenly: every base row gets the same number, and the
     rows with the smallest hashes one more. Neighbour and position follow from the hash of
-    (seed, base id, draw number). Adds ``synthetic`` (boolean); synthetic ids are negative.
+    (seed, base id, draw number). Adds ``synthetic`` (boolean).
+
+    Synthetic ids are a running number above the largest id (below the smallest one where
+    there is no room above); text ids get the draw number appended. A class that must grow
+    needs more than ``k`` rows: fewer raise ``ValueError``, and the caller may pass a smaller k.
     """
     counts = class_counts(df, label)
     top = max(counts.values())
     out = df.withColumn("synthetic", F.lit(False))
     is_vector = df.schema[features].dataType.typeName() == "vectorudt"
     vec = vector_to_array(F.col(features)) if is_vector else F.col(features)
-    short = {s: (top - n, n) for s, n in counts.items() if n < top and n > 1}
-    # one stride for all classes, so that (id, draw) -> id * stride + draw stays unique
-    stride = max([need // n + 1 for need, n in short.values()], default=1)
+    short = {s: (top - n, n) for s, n in counts.items() if n < top}
+    for s, (_, n) in short.items():
+        if n <= k:
+            raise ValueError(f"class {s!r} has {n} rows; {k} neighbours need more than {k}")
     text_id = df.schema[id_col].dataType.typeName() == "string"
+    free = None if text_id or not short else _free_ids(df, id_col, sum(need for need, _ in short.values()))
     for s in sorted(short, key=str):
         need, n = short[s]
         base = df.filter(F.col(label).eqNullSafe(F.lit(s)))
         pts = base.select(F.col(id_col).alias("id"), vec.alias("vec"))
-        near = nearest_neighbors(pts, pts, min(k, n - 1), exclude_self=True)
+        near = nearest_neighbors(pts, pts, k, exclude_self=True)
         near = near.groupBy("query_id").agg(
             F.sort_array(F.collect_list(F.struct("rank", "neighbor_id"))).alias("near"))  # k entries per row
         each, extra = divmod(need, n)
         _, cuts = hash_cutoffs(base, id_col, None, seed, lambda c: {x: [extra] for x in c})
         draws = F.lit(each) + below(id_col, None, seed, cuts).cast("int")
-        plan = (base.withColumn("_bvec", vec).withColumn("_draws", draws).filter("_draws > 0")
-                .join(near, F.col(id_col) == F.col("query_id"))
+        plan = base.withColumn("_bvec", vec).withColumn("_draws", draws).filter("_draws > 0")
+        if free is not None:  # the number of draws before this row
+            before = running_totals(plan.select(F.col(id_col).alias("_rid"), "_draws"), [], "_rid", ["_draws"])
+            plan = plan.join(before.select("_rid", (F.col("cum__draws") - F.col("_draws")).alias("_before")),
+                             F.col(id_col) == F.col("_rid"))
+        plan = (plan.join(near, F.col(id_col) == F.col("query_id"))
                 .withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("_draws"))))
                 .withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"),
                                                       F.col("_draw").cast("string")).cast("binary")))
@@ -129,7 +140,7 @@ def smote(df: DataFrame, id_col: str, label: str = "label", features: str = "fea
         mixed = plan.join(mates, F.col("_nid") == F.col("_mid")).withColumn(
             "_new", F.expr("zip_with(_bvec, _nvec, (a, b) -> a + _u * (b - a))"))
         new_id = (F.concat(F.col(id_col), F.lit("#"), F.col("_draw").cast("string")) if text_id else
-                  -(F.col(id_col).cast("bigint") * stride + F.col("_draw")))
+                  F.lit(free) + F.col("_before") + F.col("_draw") - 1)
         new = mixed.select(
             *[(new_id if c == id_col else
                (array_to_vector("_new") if is_vector else F.col("_new")) if c == features else
@@ -137,9 +148,20 @@ def smote(df: DataFrame, id_col: str, label: str = "label", features: str = "fea
               for c in df.columns],
             F.lit(True).alias("synthetic"))
         out = out.unionByName(new)
+        free = None if text_id else free + need
     return out
 
 
+def _free_ids(df: DataFrame, id_col: str, wanted: int) -> int:
+    """The first of ``wanted`` consecutive ids that no row has."""
+    lo, hi = df.agg(F.min(F.col(id_col).cast("bigint")), F.max(F.col(id_col).cast("bigint"))).first()
+    if hi + wanted < 1 << 63:
+        return hi + 1
+    if lo - wanted >= -(1 << 63):
+        return lo - wanted
+    raise ValueError(f"the ids of {id_col} leave no room for {wanted} more")
+
+
 def rebalance(df: DataFrame, id_col: str, label: str = "label", method: str = "smote",
               seed: int = RANDOM_SEED, on_step=None) -> DataFrame:
     """'smote', 'undersample' or 'none'."""

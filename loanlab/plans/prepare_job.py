@@ -14,6 +14,7 @@ from loanlab.operators import resample
 from loanlab.operators.outliers import METHODS as OUTLIER_METHODS
 from loanlab.operators.outliers import clip, fence_constants, handle_outliers
 from loanlab.roles import LOAN_ROLES, Roles
+from loanlab.session import durable
 
 
 class NotFitted(ValueError):
@@ -87,6 +88,8 @@ def prepare(df: DataFrame, roles: Roles = LOAN_ROLES, outliers: str = "clip", im
 
     ``fit_on='all'`` fits every constant on the whole table before the split, which leaks
     test rows into the fit but is what the original job computes; ``'train'`` splits first.
+    Removing outliers chooses rows by fences of the whole table before the split, so it cannot
+    be combined with ``'train'``.
 
     With clipping, one quantile fit serves fences and medians: a fence never cuts into the
     inner half, so the median of the clipped column is the median of the raw one. Fences
@@ -97,6 +100,8 @@ def prepare(df: DataFrame, roles: Roles = LOAN_ROLES, outliers: str = "clip", im
         raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
     if outliers not in OUTLIER_METHODS:
         raise ValueError(f"unknown outlier method: {outliers}")
+    if fit_on == "train" and outliers == "remove":
+        raise ValueError("outliers='remove' fits fences before the split and would leak into fit_on='train'")
     df, pre, parted = nan_to_null(df), Preprocessor(roles), None
     if outliers == "remove":  # rows disappear, so this comes before any split
         df = pre.handle_outliers(df, "remove")
@@ -124,6 +129,7 @@ def prepare(df: DataFrame, roles: Roles = LOAN_ROLES, outliers: str = "clip", im
     else:
         rows = model.transform(source, keep=("split",)).select(roles.id, "label", "features", "split")
     if imbalance != "none":
+        rows = durable(rows)  # read several times from here on
         train = rows.filter(F.col("split") == "train").drop("split")
         train = pre.rebalance(train, imbalance).withColumn("split", F.lit("train"))
         rows = train.unionByName(rows.filter(F.col("split") == "test"))

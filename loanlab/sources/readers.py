@@ -72,13 +72,44 @@ def _infer_types(raw: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(c, kind(facts[c])) for c in raw.columns])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Columns are matched by name, so their order in the file is free.
-
-    Spark's reader knows one ``nullValue``; the whole token list is applied here, then the
-    text columns are cast to the declared (or inferred) types.
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """``{header line: files}`` of the files at ``path``; only the first lines are read."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out: dict[str, list[str]] = {}
+    for status in fs.globStatus(at) or []:
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            file = files.next().getPath()
+            if file.getName().startswith(("_", ".")):
+                continue
+            stream, codec = fs.open(file), codecs.getCodec(file)
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+                codec.createInputStream(stream) if codec is not None else stream, "UTF-8"))
+            line = lines.readLine()
+            lines.close()
+            if line is not None:
+                out.setdefault(line.lstrip("\ufeff").rstrip("\r"), []).append(file.toString())
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """CSV with a header. Columns are matched by name, so their order may differ from file to file.
+
+    A column that some files lack is NULL in their rows. Spark's reader knows one
+    ``nullValue``; the whole token list is applied here, then the text columns are cast to the
+    declared (or inferred) types. Line breaks inside quotes need ``multi_line=True`` (files
+    are then not split); without it they end the row.
     """
-    raw = spark.read.options(header=True, emptyValue="", quote='"', escape='"').csv(path)
+    reader = spark.read.options(header=True, emptyValue="", quote='"', escape='"', multiLine=multi_line)
+    parts = [reader.csv(files) for files in _headers(spark, path).values()]
+    raw = parts[0] if parts else reader.csv(path)
+    for part in parts[1:]:
+        raw = raw.unionByName(part, allowMissingColumns=True)
     raw = raw.select(*[
         F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns
     ])

@@ -70,7 +70,9 @@ def _class_rows(spark, majority, minority):
 
 def test_smote_between_two_points(spark):
     df = _class_rows(spark, np.zeros((6, 2)), np.array([[0.0, 0.0], [2.0, 4.0]]))
-    grown = rs.smote(df, "id")
+    with pytest.raises(ValueError, match="2 rows"):  # five neighbours need six rows
+        rs.smote(df, "id")
+    grown = rs.smote(df, "id", k=1)
     counts = {(r["label"], r["synthetic"]): r["count"] for r in grown.groupBy("label", "synthetic").count().collect()}
     assert counts == {(0.0, False): 6, (1.0, False): 2, (1.0, True): 4}
     for r in grown.filter("synthetic").collect():
@@ -94,6 +96,21 @@ def test_smote_rows_lie_on_a_segment_to_a_near_neighbour(spark):
         assert min(gap(a, b) for a, b in segments) < 1e-9
 
 
+@pytest.mark.parametrize("ids", [lambda i: -i - 1, lambda i: (1 << 63) - 1 - i, lambda i: i - (1 << 63)])
+def test_smote_ids_are_new_and_unique(spark, ids):
+    rng = np.random.default_rng(5)
+    rows = [(ids(i), float(i < 7), [float(v) for v in rng.normal(size=2)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, label double, features array<double>")
+    grown = rs.smote(df, "id", k=3)
+    assert grown.count() == grown.select("id").distinct().count() == 66
+
+
+def test_smote_of_a_class_of_one_row(spark):
+    df = _class_rows(spark, np.zeros((6, 2)), np.ones((1, 2)))
+    with pytest.raises(ValueError, match="1 rows"):
+        rs.rebalance(df, "id")
+
+
 def test_smote_is_repeatable_and_keeps_vectors(spark, loans):
     from loanlab.operators.preprocess import fit_preprocessor
     from loanlab.roles import LOAN_ROLES

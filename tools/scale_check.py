@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,6 +28,7 @@ def main(argv) -> None:
     from loanlab.sources.loan_applications import loan_applications
 
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "16")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loanlab-"))
              .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
