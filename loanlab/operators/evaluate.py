@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loanlab.functions.scalars import percent, r2, r4, ratio
 from loanlab.operators.ranking import running_totals
+from loanlab.session import durable
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
@@ -40,9 +41,13 @@ def classification_metrics(predictions: DataFrame) -> DataFrame:
 
 
 def _metrics(predictions: DataFrame) -> DataFrame:
+    return _ratios(predictions.groupBy("model_name").agg(*_cells(), F.count("score").alias("n_scored")))
+
+
+def _ratios(cells: DataFrame) -> DataFrame:
     tn, fp, fn, tp = (F.col(k) for k in ("tn", "fp", "fn", "tp"))
     zero = F.lit(0.0)
-    return predictions.groupBy("model_name").agg(*_cells(), F.count("score").alias("n_scored")).select(
+    return cells.select(
         "model_name",
         ratio(tp + tn, tn + fp + fn + tp).alias("accuracy"),
         F.coalesce(ratio(tp, tp + fp), zero).alias("precision"),
@@ -121,10 +126,22 @@ def average_precision(predictions: DataFrame) -> DataFrame:
 
 
 def evaluate(predictions: DataFrame) -> DataFrame:
-    """The five metrics per model; ROC-AUC is 0 for a model without scores."""
+    """The five metrics per model; ROC-AUC is 0 for a model without scores.
+
+    The predictions are read once: what both parts need are the labels counted by score and
+    decision, which are stored.
+    """
+    tally = durable(predictions.groupBy("model_name", "score", "prediction").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")))
+    by_score = tally.filter(F.col("score").isNotNull()).groupBy("model_name", "score").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    area = _auc_from(running_totals(by_score, ["model_name"], "score", ["pos", "neg"], ascending=False))
+    said = {k: F.coalesce(F.sum(F.when(F.col("prediction") == p, F.col(side))), F.lit(0)).alias(k)
+            for k, p, side in (("tn", 0, "neg"), ("fp", 1, "neg"), ("fn", 0, "pos"), ("tp", 1, "pos"))}
+    scored = F.coalesce(F.sum(F.when(F.col("score").isNotNull(), F.col("pos") + F.col("neg"))), F.lit(0))
+    cells = tally.groupBy("model_name").agg(*said.values(), scored.alias("n_scored"))
     auc = F.when(F.col("n_scored") == 0, 0.0).otherwise(F.col("roc_auc"))
-    return (_metrics(predictions).join(roc_auc(predictions), "model_name", "left")
-            .withColumn("roc_auc", auc).drop("n_scored"))
+    return _ratios(cells).join(area, "model_name", "left").withColumn("roc_auc", auc).drop("n_scored")
 
 
 # ---------------------------------------------------------------- comparison of models

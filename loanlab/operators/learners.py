@@ -49,10 +49,18 @@ class SparkModel:
     kind: str = "spark_ml"
 
     def score(self, df: DataFrame) -> DataFrame:
+        """Class-1 probability; else the raw score of class 1; else no score (an AUC of 0).
+
+        Without probabilities the decision is the model's own.
+        """
         out = self.model.transform(df)
-        p1 = vector_to_array(F.col("probability"))[1]
-        return out.withColumn("score", p1).drop("rawPrediction", "probability", "prediction").withColumn(
-            "prediction", decide(F.col("score")))
+        made = ("rawPrediction", "probability", "prediction")
+        if "probability" in out.columns:
+            out = out.withColumn("score", vector_to_array(F.col("probability"))[1])
+            return out.drop(*made).withColumn("prediction", decide(F.col("score")))
+        raw = vector_to_array(F.col("rawPrediction"))[1] if "rawPrediction" in out.columns else F.lit(None).cast("double")
+        own = out.withColumn("score", raw).withColumn("_own", F.col("prediction").cast("int"))
+        return own.drop(*made).withColumnRenamed("_own", "prediction")
 
     def importance(self):
         if hasattr(self.model, "featureImportances"):
@@ -168,10 +176,12 @@ def _fit_tree_family(estimator, train: DataFrame) -> SparkModel:
 def fit_logistic_regression(train: DataFrame, id_col: str, c: float = 1.0, l1_ratio: float = 0.0,
                             max_iter: int = 1000) -> SparkModel:
     """L2 with inverse strength C: Spark averages the loss, hence regParam = 1 / (C * sum of weights)."""
-    n = sum(class_counts(train).values())  # balanced weights add up to the row count
+    train = _binary(train)
+    counts = class_counts(train)
+    n = sum(counts.values())  # balanced weights add up to the row count
     est = LogisticRegression(maxIter=max_iter, weightCol="weight", standardization=False, tol=1e-6,
                              regParam=1.0 / (c * n), elasticNetParam=l1_ratio)
-    return SparkModel(est.fit(_weighted(train, True)))
+    return SparkModel(est.fit(balanced_weights(train, counts=counts)))
 
 
 def fit_decision_tree(train: DataFrame, id_col: str, max_depth: int = 10) -> SparkModel:
@@ -387,6 +397,14 @@ def _score_fold(name, folded: DataFrame, id_col: str, i: int, options: dict, tag
     return part.withColumn("model_name", F.lit(tag or str(i)))
 
 
+DEEPEST = 30  # Spark's tree depth limit stands for "no limit"
+
+
+def setting_text(options: dict) -> str:
+    return ", ".join(f"{a}={f'unlimited ({b})' if (a, b) == ('max_depth', DEEPEST) else b}"
+                     for a, b in sorted(options.items()))
+
+
 def grid_options(name: str) -> list[dict]:
     """Parameter sets of a model's declared grid, as options of its learner.
 
@@ -397,7 +415,6 @@ def grid_options(name: str) -> list[dict]:
     rename = {"n_estimators": "num_trees" if name == "Random Forest" else "rounds", "max_depth": "max_depth",
               "learning_rate": "rate", "subsample": "subsample", "min_samples_leaf": "min_leaf", "C": "c",
               "max_iter": "max_iter", "penalty": "l1_ratio"}
-    deepest = 30  # Spark's tree depth limit stands for "no limit"
     sets = []
     for combo in product(*grid.values()):
         opts = {}
@@ -405,7 +422,7 @@ def grid_options(name: str) -> list[dict]:
             if key == "penalty":
                 v = 1.0 if v == "l1" else 0.0
             elif key == "max_depth":
-                v = deepest if v in (None, -1) else v
+                v = DEEPEST if v in (None, -1) else v
             if key in rename:
                 opts[rename[key]] = v
         if opts not in sets:
@@ -420,7 +437,7 @@ def tune(name: str, df: DataFrame, id_col: str, k: int = CV_FOLDS, sets=None, pa
     """
     folded = kfold(df, id_col, k=k).persist()
     sets = list(sets if sets is not None else grid_options(name))
-    texts = [", ".join(f"{a}={b}" for a, b in sorted(opts.items())) for opts in sets]
+    texts = [setting_text(opts) for opts in sets]
     jobs = [partial(_score_fold, name, folded, id_col, i, opts, f"{n}:{i}")
             for n, opts in enumerate(sets) for i in range(k)]
     scores = evaluate(reduce(DataFrame.unionByName, _run_jobs(df.sparkSession, jobs, parallelism)))

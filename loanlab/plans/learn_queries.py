@@ -168,11 +168,21 @@ def m14(spark, sf):
         "fold", "metric", F.col("value").between(0.0, 1.0).alias("in_range"))
 
 
-@query("m15_tuning_grid")
+_SETTINGS = [ml.setting_text(o) for o in ml.grid_options("Logistic Regression")]
+
+
+def _names(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query("m15_tuning_grid", loans_sql(f"""
+SELECT setting, CAST(fold AS INT) AS fold, metric, n > 0 AS in_range FROM (SELECT unnest({_names(_SETTINGS)}) AS setting),
+  range(5) f(fold), (SELECT unnest({_names(ev.METRICS)}) AS metric), (SELECT count(*) AS n FROM loans)"""))
 def m15(spark, sf):
-    """The logistic regression grid over two folds."""
+    """The whole logistic regression grid over five folds."""
     train, _, _ = train_test(spark, sf)
-    return ml.tune("Logistic Regression", train, R.id, k=2, parallelism=4)
+    return ml.tune("Logistic Regression", train, R.id, parallelism=4).select(
+        "setting", "fold", "metric", F.col("value").between(0.0, 1.0).alias("in_range"))
 
 
 # ---------------------------------------------------------------- stored models
@@ -214,17 +224,28 @@ def s10(spark, sf):
                     F.lit(exists).alias("exists_after")))
 
 
-@query("e11_training_times")
+def _times_sql(names):
+    return loans_sql(f"""SELECT model_name, n > 0 AS timed, n AS n_test FROM (SELECT unnest({_names(names)}) AS model_name),
+  (SELECT count(*) AS n FROM parted WHERE split = 'test')""", *_SPLIT)
+
+
+def _timed(times, scored):
+    """Train times as facts: every model has one, in ascending order, next to its scored rows."""
+    n = scored.groupBy("model_name").agg(F.count("*").alias("n_test"))
+    return times.select("model_name", (F.col("train_seconds") > 0).alias("timed")).join(n, "model_name")
+
+
+@query("e11_training_times", _times_sql(_QUICK))
 def e11(spark, sf):
     """Train-time comparison, fastest first."""
     train, test, names = train_test(spark, sf)
     done, _ = ml.train_models(train, test, R.id, names, _QUICK)
-    return ev.by_train_time(ml.metrics_table(spark, done))
+    return _timed(ev.by_train_time(ml.metrics_table(spark, done)), ml.predictions_table(done))
 
 
-@query("t4_models_by_train_time")
+@query("t4_models_by_train_time", _times_sql(["Decision Tree", "Naive Bayes"]))
 def t4(spark, sf):
     """The batch job end to end (oversampled, stored, reloaded), models by training time."""
     report = run_batch_job(spark, loan_applications(spark, sf), scratch_path(spark, "job"),
                            names=["Naive Bayes", "Decision Tree"])
-    return report.run.train_times()
+    return _timed(report.run.train_times(), ml.predictions_table(report.run.models))
