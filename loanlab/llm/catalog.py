@@ -62,7 +62,7 @@ def op3(spark, sf_dir):
 _SPAN_ORACLE = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(regexp_replace(coalesce(text, ''),
-    '([.!?][ \t\n\r\f\v]+|[ \t\r\f\v]*\n[ \t\n\r\f\v]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS pieces
+    '([.!?][ \t\n\r\f\v]+|[^ \t\n\r\f\v][ \t\r\f\v]*\n[ \t\n\r\f\v]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS pieces
   FROM documents),
 worded AS (
   SELECT *, list_transform(pieces, lambda p: regexp_extract_all(

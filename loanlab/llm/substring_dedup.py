@@ -5,7 +5,7 @@ ends). Spans are: every run of ``sentences`` consecutive sentences, lengthened t
 and, ending at the same place, to the left until it has ``least_words`` words; and every
 shorter run of ``long_words`` words or more. So a passage of whole sentences is covered to
 both ends whether its sentences are short or long. Spans compare by their words, A-Z
-lower-cased, through 128-bit hashes, over all documents.
+lower-cased, through 96-bit hashes, over all documents.
 
 Of every span that occurs again, the occurrence in the smallest id (then the smallest text
 hash, then the earliest sentence) is the first. Sentences covered by any other occurrence
@@ -43,9 +43,8 @@ ship(__name__)
 SENTENCES = 3
 LEAST_WORDS = 20
 LONG_WORDS = 40
-BROADCAST_HASHES = 1_000_000  # repeated hashes (8 bytes each) that are broadcast; more are joined by a shuffle
-# white space after a sentence end, or any white space with a line end in it
-_CUT = re.compile(r"((?<=[.!?])[ \t\n\r\f\v]+|[ \t\r\f\v]*\n[ \t\n\r\f\v]*)")
+# white space after a sentence end, or white space with a line end in it; never at the text's start
+_CUT = re.compile(r"((?<=[.!?])[ \t\n\r\f\v]+|(?<=[^ \t\n\r\f\v])[ \t\r\f\v]*\n[ \t\n\r\f\v]*)")
 
 
 def cut(text: str) -> list[str]:
@@ -85,35 +84,36 @@ def _spans_of(sentences: int, least: int, long: int):
     digest = xxhash.xxh3_128_digest
 
     def work(texts):
-        rows, first, ends, hashes = [], [], [], []
+        rows, numbers, hashes = [], [], []
         for r, text in enumerate(texts):
             words = [s.encode().lower().split() for s in cut(text)]
             found = spans([len(w) for w in words], sentences, least, long)
             lines = [b" ".join(w) for w in words]
             rows += [r] * len(found)
-            first += [i for i, _ in found]
-            ends += [j for _, j in found]
-            # empty sentences leave no trace, so line breaks do not tell spans apart
-            hashes += [digest(b" ".join(filter(None, lines[i:j]))) for i, j in found]
+            numbers += range(len(found))
+            hashes += [digest(b" ".join(lines[i:j])) for i, j in found]
         pairs = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
-        return rows, [first, ends, pairs[:, 0], pairs[:, 1]]
+        # the span's number in its document above 32 bits of the hash: a short row to shuffle
+        return rows, [pairs[:, 0], np.array(numbers, np.int64) << 32 | pairs[:, 1] & 0xFFFFFFFF]
     return lambda: work
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences: int = SENTENCES,
              least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """(id, hash, first, end): every non-first occurrence of a repeated span. ``hash`` is that of the text."""
+    """(id, hash, number): every non-first occurrence of a repeated span.
+
+    ``hash`` is that of the text, ``number`` the span's place in the text's list of ``spans``.
+    """
     ready = docs.select(col(id_col).alias("id"), text_of(text).alias("t"), F.xxhash64(text_of(text)).alias("hash"))
-    found = flat_map_texts(ready, "t", ("id", "hash"), "first int, end int, h1 bigint, h2 bigint",
+    found = flat_map_texts(ready, "t", ("id", "hash"), "h1 bigint, span bigint",
                            _spans_of(sentences, least_words, long_words))
     counts = durable(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"))
-    few = counts.count() <= BROADCAST_HASHES
-    again = durable(found.join(F.broadcast(counts) if few else counts, "h1", "left_semi"))
-    place = F.struct(F.col("id").isNull().alias("late"), "id", "hash", "first")
-    firsts = durable(again.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q"))
+    again = durable(found.join(counts, "h1", "left_semi"))
+    again = again.select("h1", F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h2"), F.struct(
+        F.col("id").isNull().alias("late"), "id", "hash", F.shiftright("span", 32).alias("number")).alias("place"))
+    firsts = durable(again.groupBy("h1", "h2").agg(F.min("place").alias("p"), F.max("place").alias("q"))
                      .where("p <> q").select("h1", "h2", "p"))
-    return (again.withColumn("place", place).join(firsts, ["h1", "h2"]).where("place <> p")
-            .select("id", "hash", "first", "end"))
+    return again.join(firsts, ["h1", "h2"]).where("place <> p").select("place.id", "place.hash", "place.number")
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences: int = SENTENCES,
@@ -121,8 +121,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """All columns, the text without repeated spans, and ``n_sentences`` and ``n_removed``."""
     found = repeated(docs, id_col, text, sentences, least_words, long_words)
     # at most a document's own spans come together here
-    code = F.shiftleft(F.col("first").cast("bigint"), 32) + F.col("end")
-    lists = durable(found.groupBy("id", "hash").agg(F.collect_set(code).alias("codes")))
+    lists = durable(found.groupBy("id", "hash").agg(F.collect_set("number").alias("codes")))
 
     names = kept(docs.columns, ("n_sentences", "n_removed"))
     codes, own = fresh(docs, "_codes", "_hash")
@@ -139,7 +138,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 texts, totals, removed = [], [], []
                 for whole, taken in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist()):
                     pieces = cut(whole)
-                    gone = {i for c in taken or () for i in range(c >> 32, c & 0xFFFFFFFF)}
+                    gone = set()
+                    if taken:
+                        own = spans([len(s.encode().split()) for s in pieces], sentences, least_words, long_words)
+                        gone.update(i for number in taken for i in range(*own[number]))
                     texts.append("".join([s for i, s in enumerate(pieces) if i not in gone]).rstrip()
                                  if gone else whole)
                     totals.append(len(pieces))

@@ -84,7 +84,7 @@ def plain_removed(docs):
     for key in sorted(set(docs), key=lambda k: (k[0] is None, k[0] or 0)):
         sentences = [s.encode().lower().split() for s in substring_dedup.cut(key[1])]
         for i, j in substring_dedup.spans([len(s) for s in sentences], 3, 20, 40):
-            words = b" ".join(b" ".join(s) for s in sentences[i:j] if s)
+            words = b" ".join(b" ".join(s) for s in sentences[i:j])
             spans.append((words, key, i, j))
             seen.setdefault(words, (key, i))
     gone = {}
@@ -131,8 +131,10 @@ def test_repeated_passages(spark, odd_docs, no_docs):
     assert substring_dedup.remove_repeated(no_docs).count() == 0
 
 
-def test_same_result_without_broadcast(spark, sf, monkeypatch):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    one = {tuple(r) for r in substring_dedup.repeated(docs).collect()}
-    monkeypatch.setattr(substring_dedup, "BROADCAST_HASHES", 0)
-    assert one == {tuple(r) for r in substring_dedup.repeated(docs).collect()}
+def test_sentences_join_to_the_text():
+    rng = random.Random(9)
+    for _ in range(2000):
+        text = "".join(rng.choices(["a", "B b", ".", "!", " ", "\n", "\t", "\xa0", "é"], k=rng.randint(0, 25)))
+        pieces = substring_dedup.cut(text)
+        assert "".join(pieces) == text
+        assert all(p.encode().split() for p in pieces[1:])  # no sentence without words but an empty text's
