@@ -37,6 +37,7 @@ BLOCK_ROWS = 65_536      # most points, or queries, in one block
 SAMPLE_PER_CELL = 16
 DECIMALS = 6             # distances are compared at this precision, then by id
 _STEP = 10.0 ** -DECIMALS
+_VISIT_ROWS = 256        # queries whose cells are looked up together
 _MATRIX_CELLS = 500_000  # distances held at a time: a few megabytes per task
 
 
@@ -232,9 +233,9 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, exclude_sel
     if n_cells > 1:  # a fixed share by id hash, so a retried task picks the same rows
         share = min(1.0, room / facts["n"])
         picked = folded.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        sample = _matrix(picked.select("vec").limit(2 * room).toPandas()["vec"])
+        sample = _matrix(picked.select("vec").toPandas()["vec"])
     cells = _Cells(sample, n_cells)
-    points_c = _with_cell(folded, cells)
+    points_c = durable(_with_cell(folded, cells))  # read by the box pass and both rounds
     asked_c = _with_cell(asked, cells)
 
     # With copies folded, a query's own id may stand behind another copy's: k+1 are kept
@@ -252,28 +253,34 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, exclude_sel
         state = durable(asked_c.drop("bound").join(found, F.col("id") == F.col("query_id"), "left").select(
             "id", "vec", "cell",
             F.when(F.col("m") >= kk, F.col("far")).otherwise(F.lit(float("inf"))).alias("bound")))
-        visit_schema = T.StructType([state.schema["id"], state.schema["vec"], state.schema["bound"],
+        visit_schema = T.StructType([state.schema["id"], state.schema["bound"],
                                      T.StructField("cell", T.IntegerType())])
 
         def visits(batches):
             for pdf in batches:
-                if not len(pdf):
-                    continue
                 x, home = _matrix(pdf["vec"]), pdf["cell"].to_numpy()
                 bound = pdf["bound"].to_numpy(dtype=float)
-                step = max(1, _MATRIX_CELLS // (len(lo) * x.shape[1]))
-                for s in range(0, len(x), step):
-                    b = x[s:s + step]
-                    gap = np.maximum(np.maximum(lo[None] - b[:, None], b[:, None] - hi[None]), 0.0)
-                    reach = np.sqrt((gap * gap).sum(axis=2)) <= bound[s:s + step, None] + 2.0 * _STEP
-                    reach &= (n_points > 0)[None]
-                    reach[np.arange(len(b)), home[s:s + step]] = False
-                    r, c = np.nonzero(reach)
-                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[r + s], "vec": pdf["vec"].to_numpy()[r + s],
-                                        "bound": bound[r + s], "cell": c.astype("int32")})
-
-        trips = state.mapInPandas(visits, visit_schema)
-        n_trips = {r["cell"]: r["n"] for r in trips.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+                for s in range(0, len(x), _VISIT_ROWS):
+                    b = x[s:s + _VISIT_ROWS]
+                    step = max(1, _MATRIX_CELLS // (len(b) * x.shape[1]))
+                    rows, reached = [], []
+                    for c in range(0, len(lo), step):  # a block of queries against a block of boxes
+                        gap = np.maximum(np.maximum(lo[None, c:c + step] - b[:, None], b[:, None] - hi[None, c:c + step]), 0.0)
+                        reach = np.sqrt((gap * gap).sum(axis=2)) <= bound[s:s + _VISIT_ROWS, None] + 2.0 * _STEP
+                        reach &= (n_points[c:c + step] > 0)[None]
+                        r, at = np.nonzero(reach)
+                        rows.append(r + s)
+                        reached.append(at + c)
+                    rows, reached = np.concatenate(rows), np.concatenate(reached)
+                    away = reached != home[rows]
+                    rows, reached = rows[away], reached[away]
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "bound": bound[rows],
+                                        "cell": reached.astype("int32")})
+
+        # pairs only; the vectors join them afterwards
+        pairs = durable(state.mapInPandas(visits, visit_schema))
+        trips = pairs.join(state.select("id", "vec"), "id").select("id", "vec", "bound", "cell")
+        n_trips = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()}
         if n_trips:
             more = _block_join(trips, points_c, n_points, n_trips, kk)
             near = _k_best(near.drop("rank").unionByName(more), kk)

@@ -127,3 +127,13 @@ def test_equal_classes_are_left_alone(spark):
     assert rs.rebalance(df, "id", method="smote").count() == 4
     assert rs.rebalance(df, "id", method="none").count() == 4
     assert df.filter(F.col("label") == 1).count() == 2
+
+
+def test_many_cells_and_few_rows_at_a_time(spark, monkeypatch):
+    """Queries and boxes go in blocks; the block sizes must not show in the answer."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 3))
+    monkeypatch.setattr(nb, "_MATRIX_CELLS", 50)
+    monkeypatch.setattr(nb, "_VISIT_ROWS", 7)
+    got = _got(nb.nearest_neighbors(_points(spark, x), _points(spark, x), 3, exclude_self=True, cell_rows=4))
+    assert got == _brute(x, x, 3, exclude_self=True)
