@@ -19,19 +19,19 @@ on ids outside the vocabulary; a null id list decodes to empty bytes.
 from __future__ import annotations
 
 import base64
+import sys
 from array import array
 from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlab.llm.common import col, kept, map_texts, ship, worker_store
-from loanlab.llm.pretokens import Memo, Pieces
+from loanlab.llm.common import col, kept, map_texts, ship, worker_slot
+from loanlab.llm.pretokens import Pieces
 
 ship(__name__)
 
 MOST_RANKS = 1_000_000
-MERGED_ENTRIES = 450_000  # pre-tokens remembered per generation: about 80 MB each
 WORD = 8              # bitmap words of 256 bits: two levels hold 65,536 ranks in short words
 LOW = (1 << WORD) - 1
 
@@ -122,32 +122,31 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         queue = RankQueue(max(ranks.values()) + 1)
-        packed = Memo(lambda token: self._pack(merge(token.encode(), ranks, queue)), MERGED_ENTRIES)
-        self.pieces = Pieces(pattern, lambda tokens: b"".join([packed[t] for t in tokens]))
+        self.pieces = Pieces(pattern, lambda token: self._pack(merge(token.encode(), ranks, queue)), b"")
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.pieces(text))
 
     def decode(self, packed: bytes) -> bytes:
         ids = array("I", packed)
-        if array("I", b"\1\0\0\0")[0] != 1:
+        if sys.byteorder == "big":
             ids.byteswap()
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
 def _encoder(shared, pattern: str) -> Encoder:
     """The worker's encoder: made once, with its memos, for one broadcast vocabulary."""
-    store, key = worker_store(), ("byte_bpe", shared.id, pattern)
-    if store.get("byte_bpe", (None,))[0] != key:
-        store["byte_bpe"] = key, Encoder(shared.value, pattern)
-    return store["byte_bpe"][1]
+    return worker_slot(("byte_bpe", shared.id, pattern), lambda: Encoder(shared.value, pattern))
 
 
 class _Shared:

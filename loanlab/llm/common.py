@@ -23,11 +23,18 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
-def worker_store() -> dict:
-    """A dict that lives as long as the Python worker, so that tables and memos outlast one task."""
-    name = "loanlab_llm_worker_store"
-    module = sys.modules.setdefault(name, types.ModuleType(name))
-    return module.__dict__.setdefault("store", {})
+def worker_slot(key: tuple, make: Callable):
+    """What ``make()`` gives, kept in the Python worker so that it outlasts one task.
+
+    A worker keeps one such thing: another key drops the last one first, so tables and memos
+    of operators that run after each other do not add up.
+    """
+    name = "loanlab_llm_worker_slot"
+    held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if held.get("key") != key:
+        held.pop("value", None)
+        held["value"], held["key"] = make(), key
+    return held["value"]
 
 
 def col(name: str) -> Column:

@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlab.llm.common import col, kept, map_texts, ship, text_of, worker_store
-from loanlab.llm.pretokens import Memo, Pieces
+from loanlab.llm.common import col, kept, map_texts, ship, text_of, worker_slot
+from loanlab.llm.pretokens import Pieces
 
 ship(__name__)
 
@@ -100,8 +100,10 @@ class Counter:
     def __init__(self, model: Model, pattern: str):
         signs = byte_signs()
         whole, merges = model.whole, model.merges
-        rest = Memo(lambda t: len(merged("".join([signs[b] for b in t.encode()]), merges)))
-        self.pieces = Pieces(pattern, lambda tokens: sum([1 if t in whole else rest[t] for t in tokens]))
+
+        def one(token: str) -> int:
+            return 1 if token in whole else len(merged("".join([signs[b] for b in token.encode()]), merges))
+        self.pieces = Pieces(pattern, one, 0)
         added = sorted(filter(None, model.added), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
 
@@ -113,10 +115,7 @@ class Counter:
 
 
 def _counter(shared, name: str, pattern: str) -> Counter:
-    store = worker_store()
-    if store.get("token_counts", (None,))[0] != (name, pattern):
-        store["token_counts"] = (name, pattern), Counter(shared.value, pattern)
-    return store["token_counts"][1]
+    return worker_slot(("token_counts", name, pattern), lambda: Counter(shared.value, pattern))
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, text: str = "text",
