@@ -8,26 +8,40 @@ handled as the operators' docstrings say; no stage drops a row that its operator
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlab.llm import byte_bpe, decontamination, simhash, substring_dedup, toxicity
 from loanlab.llm.common import col
-from loanlab.session import scratch_path
+from loanlab.session import name_local_folder, scratch_path
+
+
+def _stage(fn):
+    """An entry point: a local session without a shared folder gets one."""
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name_local_folder(spark)
+        return fn(spark, docs, sf_dir)
+    return run_stage
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents over their language's toxicity threshold go. The classifier is fitted on the labels."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays: that of the smallest id."""
     return simhash.keep_one(docs, shingle=3, distance=3)
 
 
+@_stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences of repeated spans go, except where they stand first; ``n_chars`` follows the text."""
     cut = substring_dedup.remove_repeated(docs)
@@ -38,11 +52,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return cut.select(*[col(c) for c in docs.columns])
 
 
+@_stage
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item or more go."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, little-endian unsigned 32-bit) and their digest; ``round_trip``: they decode to the text."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -64,6 +80,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; stage results are stored in the shared folder."""
+    name_local_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlab.llm.common import col, ship
+from loanlab.llm.common import Shared, col, ship
 from loanlab.session import durable
 
 ship(__name__)
@@ -156,7 +156,6 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     ``is_query`` is a condition on the column ``id``.
     """
     spark = rows.sparkSession
-    sc = spark.sparkContext
     valid = _valid(rows, id_col, vector)
     keyed = valid.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.reverse("vector"), F.lit(1)))
     copies = W.partitionBy("h1", "h2").orderBy("id")
@@ -168,7 +167,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     if not shape["n"]:
         return spark.createDataFrame([], result)
     forest = Forest(shape["d"], trees, shape["norm"], top, slice_rows)
-    sent = sc.broadcast(forest)
+    sent = Shared(spark, forest)
 
     def tally(batches):
         own = sent.value
@@ -186,7 +185,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     table[slots >> top, (slots & (1 << top) - 1) + 1] = counted["n"].to_numpy()
     forest.below = np.cumsum(table, axis=1)
     forest.hits = max(min_hits, int(share * shape["n"]))
-    known = sc.broadcast(forest)
+    known = Shared(spark, forest)
     vector_kind = items.schema["vector"].dataType.simpleString()
     unit_schema = f"{_UNIT}, vector {vector_kind}"
 

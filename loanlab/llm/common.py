@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -37,6 +38,21 @@ def worker_slot(key: tuple, make: Callable):
     return held["value"]
 
 
+class Shared:
+    """A broadcast of any object of this package, for executors that do not have the package.
+
+    A plain broadcast names the object's class; this one carries it.
+    """
+
+    def __init__(self, spark, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        """The object; made anew at each call, so take it once per task."""
+        return pickle.loads(self.sent.value)
+
+
 def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

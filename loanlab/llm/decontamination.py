@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlab.llm.common import col, fresh, kept, map_texts, ship, text_of
+from loanlab.llm.common import Shared, col, fresh, kept, map_texts, ship, text_of
 
 ship(__name__)
 
@@ -204,7 +204,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tu
     made = f"_hits array<struct<item:{kind},coverage:double,tiles:array<struct<at:int,item_at:int,words:int>>>>"
     out = None
     for block in _blocks(benchmark, item_id, item_text, block_words):
-        index = spark.sparkContext.broadcast(Index(block, least))
+        index = Shared(spark, Index(block, least))
 
         def start(index=index):
             known = index.value
@@ -235,7 +235,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     """The documents, with all columns, that hold less than ``share`` of every item."""
     spark, out = docs.sparkSession, docs
     for block in _blocks(benchmark, item_id, item_text, block_words):
-        index = spark.sparkContext.broadcast(Index(block, least))
+        index = Shared(spark, Index(block, least))
         mark, = fresh(docs, "_leak")
 
         def start(index=index):

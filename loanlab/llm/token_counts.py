@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlab.llm.common import col, kept, map_texts, ship, text_of, worker_slot
+from loanlab.llm.common import Shared, col, kept, map_texts, ship, text_of, worker_slot
 from loanlab.llm.pretokens import Pieces
 
 ship(__name__)
@@ -122,7 +122,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, te
                  keep: tuple = ("doc_id",)) -> DataFrame:
     """Kept columns, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more tokens than the limit)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Model(path))
+    shared = Shared(spark, Model(path))
     name = f"{spark.sparkContext.applicationId}:{path}"
     names = kept(keep, ("n_bytes", "n_tokens", "over_limit"))
     inner = docs.select(*[col(k) for k in names], text_of(text).alias("_t"),
