@@ -1,11 +1,13 @@
 """Shared folder and lineage cutting.
 
 The shared folder is the one named in ``spark.checkpoint.dir`` or set on the context. The
-library never chooses one: entry points, benchmarks and tests name it for their sessions.
+library's operators never choose one: entry points name it, by ``name_local_folder`` for a
+local session that has none.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def name_local_folder(spark: SparkSession) -> None:
+    """For entry points: a folder for a local session without one. A cluster must name its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.getCheckpointDir() is None and sc.master.split("[")[0] == "local":
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loanlab-"))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/loanlab/{label}-{uuid.uuid4().hex}"
