@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlab.llm.common import col, kept, map_texts, ship, text_of
+from loanlab.llm.common import Shared, col, kept, map_texts, ship, text_of
 from loanlab.llm.html_blocks import Contexts, blocks
 
 ship(__name__)
@@ -254,15 +254,16 @@ def train(pages: list[str], seed: int = 17) -> Chain:
 
 def fit(pages: DataFrame, page: str = "html", fit_pages: int = FIT_PAGES) -> Chain:
     """Fit on a bounded sample of the pages, chosen by a hash of their html."""
-    text = text_of(page).alias("t")
-    rows = (pages.select(text).where((F.length("t") > 0) & (F.length("t") <= FIT_CHARS))
-            .orderBy(F.xxhash64("t"), "t").limit(fit_pages).collect())
+    text = pages.select(text_of(page).alias("t")).where((F.length("t") > 0) & (F.length("t") <= FIT_CHARS))
+    hashed = text.withColumn("h", F.xxhash64("t"))
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(fit_pages).collect()]
+    rows = hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
     return train([r["t"] for r in rows])
 
 
 def extract(pages: DataFrame, chain: Chain, page: str = "html", keep: tuple = ("page_id", "url")) -> DataFrame:
     """Kept columns and ``text``, the main text of the whole page."""
-    sent = pages.sparkSession.sparkContext.broadcast(chain)
+    sent = Shared(pages.sparkSession, chain)
 
     def start():
         extractor = Extractor(sent.value)
