@@ -163,7 +163,8 @@ def r3(spark, sf):
 
 
 @query("r4_smote", loans_sql(
-    """SELECT label, CAST(max(n) OVER () AS BIGINT) AS n, CAST(max(n) OVER () AS BIGINT) - n AS n_synthetic, TRUE AS inside_class_range
+    """SELECT label, CAST(max(n) OVER () AS BIGINT) AS n, CAST(max(n) OVER () AS BIGINT) - n AS n_synthetic, TRUE AS inside_class_range,
+  count(*) OVER () = 2 AND min(n) OVER () > 5 AS ids_unique
 FROM (SELECT label, count(*) AS n FROM labelled GROUP BY label)""", _LABELLED))
 def r4(spark, sf):
     """Oversample the whole prepared table; synthetic rows must lie inside their class's ranges."""
@@ -179,7 +180,8 @@ def r4(spark, sf):
         inside = inside & (slo[i] >= lo[i] - 1e-9) & (shi[i] <= hi[i] + 1e-9)
     return grown.groupBy("label").agg(
         F.count("*").alias("n"), F.count_if("synthetic").alias("n_synthetic"),
-        F.coalesce(inside, F.lit(True)).alias("inside_class_range"))
+        F.coalesce(inside, F.lit(True)).alias("inside_class_range"),
+        (F.count_distinct(R.id) == F.count("*")).alias("ids_unique"))
 
 
 @query("r5_no_resampling", loans_sql("SELECT app_id, label FROM labelled", _LABELLED))
