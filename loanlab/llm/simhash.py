@@ -35,6 +35,7 @@ from loanlab.session import durable
 ship(__name__)
 
 BUCKET = 4_096   # fingerprints under one key that are compared directly
+SPREAD = 8_192   # fingerprints per task when signatures are made
 _SEED = 42
 _CHUNK = 1 << 16  # shingle hashes counted at a time
 
@@ -103,7 +104,9 @@ def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataF
     """All pairs (u, v), u < v, of the distinct fingerprints ``fp`` at most ``distance`` bits apart."""
     segments = distance // 2 + 1
     first = _variants(list(range(64)), segments)
-    signatures = distinct.select("fp", F.posexplode(F.array(
+    # a fingerprint becomes some dozens of signatures: spread by rows, not by bytes
+    spread = distinct.repartition(distinct.count() // SPREAD + 1, "fp")
+    signatures = spread.select("fp", F.posexplode(F.array(
         *[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m, _ in first])).alias("slot", "part"))
     counts = signatures.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = durable(signatures.join(counts, ["slot", "part"]))
