@@ -15,7 +15,8 @@ descended further. Candidates are scored in double precision on the original vec
 
 Every vector is indexed. Of equal vectors only the k + 1 smallest ids can be among k nearest,
 so others are folded away after indexing their class, and equal queries are asked once;
-both are found by grouping with partial limits, so copies never meet in one task.
+both are found by grouping with partial limits, so copies never meet in one task. Rows that
+repeat an id are folded before, so that the limit counts ids.
 
 Recall depends on the data and on ``trees`` and ``share``. Vectors without any structure, as
 in the test tables, need about a whole corpus of hits (``share=1.0``, 20 trees: recall@20 of
@@ -159,8 +160,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     valid = _valid(rows, id_col, vector)
     keyed = valid.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.reverse("vector"), F.lit(1)))
     copies = W.partitionBy("h1", "h2").orderBy("id")
-    items = durable(keyed.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
-                    .select("id", "vector", "h1", "h2").dropDuplicates(["id", "h1", "h2"]))
+    # repeated rows go first: they would take the places of other ids of their class
+    single = keyed.dropDuplicates(["id", "h1", "h2"])
+    items = durable(single.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
+                    .select("id", "vector", "h1", "h2"))
     shape = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d"), F.max(F.sqrt(F.aggregate(
         "vector", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))).alias("norm")).first()
     result = "query_id bigint, rank int, vec_id bigint, score double"

@@ -51,6 +51,21 @@ def test_odd_vectors_and_ties(spark):
     assert got == expected  # so few vectors that every candidate is looked at
 
 
+def test_repeated_rows_hide_no_copies(spark):
+    """Copies whose rows occur twice, and one id repeated often: each class still gives its k + 1 smallest ids."""
+    rows = [(i, [2.0, 2.0, 2.0]) for i in range(100, 140)] * 2
+    rows += [(300, [-1.0, 3.0, 0.0])] * 30 + [(i, [-1.0, 3.0, 0.0]) for i in range(301, 320)]
+    rows += [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(1, 90)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(frame, F.col("id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    valid = dict(rows)
+    ids = sorted(valid)
+    expected = plain_nearest(ids, [np.array(valid[i]) for i in ids], [i for i in ids if i % 20 == 0], 20)
+    assert got == expected  # every candidate is looked at
+
+
 def test_few_and_no_vectors(spark):
     frame = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = ann.nearest(frame, F.col("id") % 20 == 0).orderBy("rank").collect()
