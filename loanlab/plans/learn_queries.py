@@ -2,7 +2,7 @@
 
 Learners are checked on facts that hold whatever the engine: row and class counts, score
 range, and a floor on the AUC. Nearest neighbours and naive Bayes are exact and compared
-row by row. Ensembles run with fewer rounds than the API default, over all rows.
+row by row. Every learner runs with the API defaults, over all rows.
 """
 
 from __future__ import annotations
@@ -21,14 +21,6 @@ from loanlab.session import scratch_path
 from loanlab.sources.loan_applications import loan_applications
 from loanlab.sources.results_store import load_model, load_results, results_exist, save_model, save_results
 
-# rounds used by the registered queries
-ROUNDS = {
-    "Random Forest": {"num_trees": 20, "max_depth": 8},
-    "Gradient Boosting": {"rounds": 10},
-    "XGBoost": {"rounds": 10},
-    "LightGBM": {"rounds": 10},
-    "AdaBoost": {"rounds": 10},
-}
 AUC_FLOOR = {"K-Nearest Neighbors": 0.85, "Naive Bayes": 0.85}
 
 
@@ -66,7 +58,7 @@ def _facts(models):
 def _learner_query(key, name):
     def run(spark, sf):
         train, test, names = train_test(spark, sf)
-        return _facts({name: ml.train_model(name, train, test, R.id, names, **ROUNDS.get(name, {}))})
+        return _facts({name: ml.train_model(name, train, test, R.id, names)})
     query(key, _facts_sql(name))(run)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loanlab import fixed_values as fv
 from loanlab.operators import evaluate as ev
 from loanlab.operators import learners as ml
+from loanlab.plans import learn_queries, registry
 from loanlab.plans.model_run import ModelRun
 from loanlab.plans.prepare_job import NotFitted, Preprocessor, prepare
 from loanlab.plans.train_job import run_batch_job
@@ -45,6 +46,17 @@ def test_registry_order():
     assert tuple(ml.REGISTRY) == fv.MODEL_NAMES
 
 
+@pytest.mark.parametrize("key", ["m3_random_forest", "m4_gradient_boosting", "m5_regularised_boosting",
+                                 "m6_histogram_boosting", "m9_adaboost"])
+def test_registered_learners_run_with_the_defaults(monkeypatch, key):
+    asked = {}
+    monkeypatch.setattr(learn_queries, "train_test", lambda spark, sf: (None, None, []))
+    monkeypatch.setattr(learn_queries, "_facts", lambda models: models)
+    monkeypatch.setattr(ml, "train_model", lambda name, *_, **options: asked.update({name: options}))
+    registry.QUERIES[key](None, None)
+    assert list(asked.values()) == [{}]
+
+
 def test_unknown_model(data):
     with pytest.raises(ml.UnknownModel):
         ml.train_model("Nope", data[0], data[1], R.id)
