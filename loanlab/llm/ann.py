@@ -22,15 +22,17 @@ Recall depends on the data and on ``trees`` and ``share``. Vectors without any s
 in the test tables, need about a whole corpus of hits (``share=1.0``, 20 trees: recall@20 of
 0.97); for clustered vectors a share of 0 and a few thousand hits do.
 
-Defined results: vectors that are null, zero, of another length than most, or that hold null
-or non-finite components take no part, nor do rows without an id; rows that repeat an id
-answer for one; a query never finds its own id; fewer candidates than k are all found if
+Defined results: vectors that are null, zero, or that hold null or non-finite components take
+no part, nor do rows without an id; vectors of different lengths never meet, each length that
+queries have is searched on its own, one after another; rows that repeat an id answer for one;
+a query never finds its own id; fewer candidates than k are all found if
 ``hits`` reaches them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -140,13 +142,10 @@ def _search(items: tuple, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarra
 
 def _valid(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
     v = col(vector)
-    x = rows.select(col(id_col).cast("bigint").alias("id"), v.alias("vector")).where(
+    return rows.select(col(id_col).cast("bigint").alias("id"), v.alias("vector")).where(
         F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)
         & F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
         & F.exists("vector", lambda c: c != 0))
-    usual = (x.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "d").first())
-    return x.where(F.size("vector") == (usual["d"] if usual else 0))
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding",
@@ -154,10 +153,26 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             slice_rows: int = SLICE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for every query row.
 
-    ``is_query`` is a condition on the column ``id``.
+    ``is_query`` is a condition on the column ``id``. Every vector length has its own forest.
     """
-    spark = rows.sparkSession
     valid = _valid(rows, id_col, vector)
+    lengths = sorted(r[0] for r in valid.where(is_query).select(F.size("vector")).distinct().collect())
+    parts = [_nearest(valid.where(F.size("vector") == d), is_query, k, trees, share, min_hits, top, slice_rows)
+             for d in lengths]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    if len(parts) == 1:
+        return parts[0]
+    own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # an id may repeat in several lengths
+    return (reduce(DataFrame.unionByName, parts).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            .withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
+
+
+def _nearest(valid: DataFrame, is_query: Column, k: int, trees: int, share: float, min_hits: int, top: int,
+             slice_rows: int) -> DataFrame:
+    """``nearest`` among valid vectors of one length."""
+    spark = valid.sparkSession
     keyed = valid.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.reverse("vector"), F.lit(1)))
     copies = W.partitionBy("h1", "h2").orderBy("id")
     # repeated rows go first: they would take the places of other ids of their class
@@ -166,9 +181,6 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
                     .select("id", "vector", "h1", "h2"))
     shape = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d"), F.max(F.sqrt(F.aggregate(
         "vector", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))).alias("norm")).first()
-    result = "query_id bigint, rank int, vec_id bigint, score double"
-    if not shape["n"]:
-        return spark.createDataFrame([], result)
     forest = Forest(shape["d"], trees, shape["norm"], top, slice_rows)
     sent = Shared(spark, forest)
 

@@ -66,6 +66,25 @@ def test_repeated_rows_hide_no_copies(spark):
     assert got == expected  # every candidate is looked at
 
 
+def test_every_vector_length_is_searched(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(1, 50, 3 if i <= 120 else 2).astype(float).tolist()) for i in range(1, 201)]
+    rows += [(140, [9.0, 9.0, 1.0])]  # one id in both lengths
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, F.col("id") % 20 == 0, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id, r["rank"]))
+    assert sorted(got) == list(range(20, 201, 20))
+    for q, found in got.items():
+        best = {}
+        for _, mine in (r for r in rows if r[0] == q):
+            for i, v in rows:
+                if i != q and len(v) == len(mine):
+                    best[i] = max(best.get(i, -np.inf), float(np.dot(mine, v)))
+        expected = sorted(((s, i) for i, s in best.items()), key=lambda x: (-x[0], x[1]))[:10]
+        assert found == [(s, i, n) for n, (s, i) in enumerate(expected, 1)]
+
+
 def test_few_and_no_vectors(spark):
     frame = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = ann.nearest(frame, F.col("id") % 20 == 0).orderBy("rank").collect()
