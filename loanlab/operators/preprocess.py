@@ -90,6 +90,7 @@ class LabelEncoding:
     classes: DataFrame
     small: dict[str, list[str]]  # columns whose classes the driver knows
     large: tuple[str, ...] = ()  # columns looked up by a join
+    counts: dict[str, int] = field(default_factory=dict)  # classes per column
 
     def apply(self, df: DataFrame) -> DataFrame:
         for c in [c for c in df.columns if c in self.small or c in self.large]:
@@ -122,7 +123,7 @@ def fit_labels(df: DataFrame, cols, limit: int = CATEGORY_LIMIT) -> LabelEncodin
         ranked = running_totals(distinct.filter(F.col("feature").isin(list(many))).withColumn("one", F.lit(1)),
                                 ["feature"], "value", ["one"])
         table = table.unionByName(ranked.select("feature", "value", (F.col("cum_one") - 1).alias("index")))
-    return LabelEncoding(table, small, many)
+    return LabelEncoding(table, small, many, {c: sizes.get(c, 0) for c in cols})
 
 
 def encode_categorical(df: DataFrame, roles: Roles, method: str = "onehot", on_step=None):
@@ -131,10 +132,14 @@ def encode_categorical(df: DataFrame, roles: Roles, method: str = "onehot", on_s
         return df, None
     if method != "label":
         raise ValueError(f"unknown encoding: {method}")
-    enc = fit_labels(df, roles.present(df, roles.categorical))
-    for c, classes in enc.small.items():
-        if on_step:
-            on_step(f"Label encoded {c}", {"classes": classes})
+    cols = roles.present(df, roles.categorical)
+    enc = fit_labels(df, cols)
+    for c in cols if on_step else ():
+        if c in enc.small:
+            on_step(f"Label encoded {c}", {"classes": enc.small[c]})
+        else:  # too many for the driver: their number and their table
+            on_step(f"Label encoded {c}", {"n_classes": enc.counts[c], "classes": enc.classes.filter(
+                F.col("feature") == c).select("value", "index")})
     return enc.apply(df), enc
 
 

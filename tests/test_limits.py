@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loanlab.functions.quantiles import exact_quantiles
 from loanlab.operators import profile as prof
-from loanlab.plans.prepare_job import prepare
+from loanlab.plans.prepare_job import Preprocessor, prepare
 from loanlab.roles import LOAN_ROLES, Roles
 from loanlab.session import path_exists, shared_dir
 from loanlab.sources.prepared_store import load_prepared, prepared_exists, save_prepared
@@ -82,3 +82,16 @@ def test_overwriting_takes_the_mark_away_first(spark, tmp_path):
         save_prepared(broken, ["f"], path)
     assert not prepared_exists(spark, path) and load_prepared(spark, path) is None
     assert path_exists(spark, shared_dir(spark))
+
+
+def test_label_log_names_columns_of_many_classes(spark):
+    n = 10_050
+    df = spark.range(n).select("id", F.lit(0).alias("y"), F.concat(F.lit("v"), "id").alias("wide"),
+                               F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("narrow"))
+    pre = Preprocessor(Roles("id", "y", (), ("wide", "narrow")))
+    pre.encode_categorical(df, "label")
+    (wide, details), (narrow, few) = pre.log.steps
+    assert (wide, narrow) == ("Label encoded wide", "Label encoded narrow")
+    assert details["n_classes"] == n and details["classes"].count() == n
+    assert few == {"classes": ["a", "b"]}
+    assert pre.log.to_frame(spark).count() == 2
