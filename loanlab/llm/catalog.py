@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlab.llm import (ann, byte_bpe, decontamination, html_extract, sharding, simhash, substring_dedup, token_counts,
-                         toxicity, url_filters)
+from loanlab.llm import (ann, byte_bpe, decontamination, html_extract, periodic_runs, piece_bpe, sharding, simhash,
+                         spelling_variants, substring_dedup, token_counts, toxicity, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +180,51 @@ def op10(spark, sf_dir):
 @query("op9_ann_prefix_forest")
 def op9(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    words = spelling_variants.word_counts(_table(spark, sf_dir, "documents"), drop_every=97, shortest=5)
+    return spelling_variants.spelling_variants(words.where("n >= 3"))
+
+
+def planted_period(text: F.Column, doc_id: F.Column) -> F.Column:
+    """The text, or for a tenth of the documents its words with a period that the id gives."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        start = (g % n).cast("int")
+        period = (F.lit(1) + F.floor((n - start) / (F.lit(3) + g % 8))).cast("int")
+        tail = F.transform(F.sequence(start, n - 1), lambda i: F.get(words, (start + (i - start) % period).cast("int")))
+        return F.array_join(F.concat(F.slice(words, 1, start), tail), " ")
+    words = F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    # the words are bound to a name: they are cut out once
+    planted = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)))[0]
+    return F.when(h % 10 == 0, F.coalesce(planted, text)).otherwise(text)
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = periodic_runs.periodic_runs(docs.select("doc_id", planted_period(F.col("text"), F.col("doc_id")).alias("text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"),
+                                                              r.period.alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(F.lit(-1000) * F.col("best.less") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_sentencepiece")
+def op13(spark, sf_dir):
+    model = piece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = piece_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), model)
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"),
+                       F.coalesce(F.element_at("ends", -1), F.lit(0).cast("bigint")).alias("n_source_bytes"))
