@@ -1,4 +1,6 @@
 """All registered queries (importing a module registers its queries)."""
 
-from loanlab.plans import evaluate_queries, learn_queries, prepare_queries, profile_queries  # noqa: F401
+from loanlab.plans import (  # noqa: F401
+    evaluate_queries, learn_queries, monitor_queries, prepare_queries, profile_queries, warehouse_queries,
+)
 from loanlab.plans.registry import ORACLES, QUERIES  # noqa: F401

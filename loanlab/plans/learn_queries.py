@@ -88,7 +88,9 @@ def m7(spark, sf):
     return ml.predict("K-Nearest Neighbors", model, test, R.id).drop("model_name")
 
 
-@query("m8_gaussian_naive_bayes", loans_sql("""
+def naive_bayes_sql(*prepared):
+    """Score and decision of the test rows of ``parted``, from the moments of its train rows."""
+    return loans_sql("""
 SELECT id, label, round(1e0 / (1e0 + exp(least(l0 - l1, 700e0))), 6) AS score,
   CASE WHEN 1e0 / (1e0 + exp(least(l0 - l1, 700e0))) > 0.5e0 THEN 1 ELSE 0 END AS prediction FROM (
   SELECT t.app_id AS id, CAST(t.label AS INT) AS label,
@@ -97,12 +99,15 @@ SELECT id, label, round(1e0 / (1e0 + exp(least(l0 - l1, 700e0))), 6) AS score,
     sum(-0.5e0 * ln(2e0 * pi() * (var + eps)) - (value - mean) * (value - mean) / (2e0 * (var + eps)))
       FILTER (stats.c = 1) + (SELECT ln(prior) FROM priors WHERE c = 1) AS l1
   FROM cells t JOIN stats USING (feature), smooth WHERE split = 'test' GROUP BY t.app_id, t.label)""",
-    *_PREPARED,
+    *prepared,
     "cells AS (" + union_all(f"SELECT app_id, label, split, '{n}' AS feature, {n} AS value FROM parted"
                              for n in FEATURE_NAMES) + ")",
     "stats AS (SELECT feature, label AS c, avg(value) AS mean, var_pop(value) AS var FROM cells WHERE split = 'train' GROUP BY feature, label)",
     "smooth AS (SELECT 1e-9 * max(v) AS eps FROM (SELECT var_pop(value) AS v FROM cells WHERE split = 'train' GROUP BY feature))",
-    "priors AS (SELECT label AS c, count(*) * 1e0 / (SELECT count(*) FROM parted WHERE split = 'train') AS prior FROM parted WHERE split = 'train' GROUP BY label)"))
+    "priors AS (SELECT label AS c, count(*) * 1e0 / (SELECT count(*) FROM parted WHERE split = 'train') AS prior FROM parted WHERE split = 'train' GROUP BY label)")
+
+
+@query("m8_gaussian_naive_bayes", naive_bayes_sql(*_PREPARED))
 def m8(spark, sf):
     train, test, _ = train_test(spark, sf)
     model = ml.fit_model("Naive Bayes", train, R.id)
