@@ -88,6 +88,15 @@ def m7(spark, sf):
     return ml.predict("K-Nearest Neighbors", model, test, R.id).drop("model_name")
 
 
+# moments of the train rows of ``parted`` by feature and class
+NAIVE_BAYES_CTES = (
+    "cells AS (" + union_all(f"SELECT app_id, label, split, '{n}' AS feature, {i} AS pos, {n} AS value FROM parted"
+                             for i, n in enumerate(FEATURE_NAMES)) + ")",
+    "stats AS (SELECT feature, label AS c, avg(value) AS mean, var_pop(value) AS var FROM cells WHERE split = 'train' GROUP BY feature, label)",
+    "smooth AS (SELECT 1e-9 * max(v) AS eps FROM (SELECT var_pop(value) AS v FROM cells WHERE split = 'train' GROUP BY feature))",
+    "priors AS (SELECT label AS c, count(*) * 1e0 / (SELECT count(*) FROM parted WHERE split = 'train') AS prior FROM parted WHERE split = 'train' GROUP BY label)")
+
+
 def naive_bayes_sql(*prepared):
     """Score and decision of the test rows of ``parted``, from the moments of its train rows."""
     return loans_sql("""
@@ -100,11 +109,7 @@ SELECT id, label, round(1e0 / (1e0 + exp(least(l0 - l1, 700e0))), 6) AS score,
       FILTER (stats.c = 1) + (SELECT ln(prior) FROM priors WHERE c = 1) AS l1
   FROM cells t JOIN stats USING (feature), smooth WHERE split = 'test' GROUP BY t.app_id, t.label)""",
     *prepared,
-    "cells AS (" + union_all(f"SELECT app_id, label, split, '{n}' AS feature, {n} AS value FROM parted"
-                             for n in FEATURE_NAMES) + ")",
-    "stats AS (SELECT feature, label AS c, avg(value) AS mean, var_pop(value) AS var FROM cells WHERE split = 'train' GROUP BY feature, label)",
-    "smooth AS (SELECT 1e-9 * max(v) AS eps FROM (SELECT var_pop(value) AS v FROM cells WHERE split = 'train' GROUP BY feature))",
-    "priors AS (SELECT label AS c, count(*) * 1e0 / (SELECT count(*) FROM parted WHERE split = 'train') AS prior FROM parted WHERE split = 'train' GROUP BY label)")
+    *NAIVE_BAYES_CTES)
 
 
 @query("m8_gaussian_naive_bayes", naive_bayes_sql(*_PREPARED))
