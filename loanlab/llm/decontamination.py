@@ -13,8 +13,8 @@ The benchmark is a stated query set. It goes out in blocks of at most ``BLOCK_WO
 whose index is broadcast; a larger benchmark takes one pass over the documents per block.
 Documents are never shuffled.
 
-Defined results: null texts count as empty and hold nothing; items of fewer words than
-``least`` are never found; equal benchmark rows count once, items may share an id or have a
+Defined results: null texts count as empty and hold nothing; an item of fewer words than
+``least`` is one seed of all its words, one without words is never found; equal benchmark rows count once, items may share an id or have a
 null id and are then reported under it; repeated documents are reported as often as they
 occur; empty tables give no rows; other columns are ignored unless kept, and a kept column
 with the name of a result column gives way to it.
@@ -63,28 +63,36 @@ class Index:
         self.names, self.items, hashes, places = [], [], [], []
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if len(ids) < least:
+            if not ids:
                 continue
-            found = windows(np.array(ids, np.uint64), least)
-            hashes.append(found)
-            places += [len(self.items)] * len(found)
+            size = min(least, len(ids))  # an item with fewer words is one seed
+            found = windows(np.array(ids, np.uint64), size)
+            hashes.append((size, found))
+            places.append(np.full(len(found), len(self.items), np.int64))
             self.names.append(name)
             self.items.append(ids)
-        hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner = hashes[order], np.array(places, np.int64)[order]
+        self.tables = {}  # seed size to (sorted hashes, their items)
+        for size in sorted({s for s, _ in hashes}):
+            mine = np.concatenate([h for s, h in hashes if s == size])
+            owner = np.concatenate([p for (s, _), p in zip(hashes, places) if s == size])
+            order = np.argsort(mine, kind="stable")
+            self.tables[size] = mine[order], owner[order]
 
     def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, position in the document) of all common seeds."""
         known = np.concatenate(([0], np.cumsum(ids == 0)))
-        at = np.flatnonzero(known[self.least:] == known[:-self.least]) if len(ids) >= self.least else np.zeros(0, int)
-        if not len(at) or not len(self.hashes):
+        found = [self._seeds(ids, known, size, *table) for size, table in self.tables.items() if len(ids) >= size]
+        if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        mine = windows(ids, self.least)[at]
-        low, high = np.searchsorted(self.hashes, mine), np.searchsorted(self.hashes, mine, "right")
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def _seeds(self, ids, known, size: int, hashes, owner) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(known[size:] == known[:-size])
+        mine = windows(ids, size)[at]
+        low, high = np.searchsorted(hashes, mine), np.searchsorted(hashes, mine, "right")
         at, low, n = at[high > low], low[high > low], (high - low)[high > low]
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.owner[np.repeat(low, n) + within], np.repeat(at, n)
+        return owner[np.repeat(low, n) + within], np.repeat(at, n)
 
     def overlaps(self, text: str) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """(item, tiles) for every item with a tile; a tile is (place in text, place in item, words)."""
@@ -95,8 +103,9 @@ class Index:
         for item in np.unique(owners):
             cover = np.zeros(len(ids) + 1, np.int64)  # the stretches that lie in seeds of this item
             starts = np.unique(at[owners == item])
+            size = min(self.least, len(self.items[item]))
             np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + self.least, -1)
+            np.add.at(cover, starts + size, -1)
             inside = np.flatnonzero(np.cumsum(cover)[:-1])
             doc, places, last = [], [], None
             for p in inside.tolist():
@@ -106,7 +115,7 @@ class Index:
                 doc.append(int(ids[p]))
                 places.append(p)
                 last = p
-            tiles = tile(doc, self.items[item], self.least)
+            tiles = tile(doc, self.items[item], size)
             if tiles:
                 out.append((int(item), [(places[d], i, n) for d, i, n in tiles]))
         return out

@@ -36,7 +36,7 @@ from loanlab.llm.html_blocks import Contexts, blocks
 ship(__name__)
 
 FIT_PAGES = 60        # pages that are learned from
-FIT_CHARS = 20_000    # longer pages are not learned from; they are extracted whole like all others
+FIT_CHARS = 2_000_000  # characters that are learned from, over all pages
 LAYOUTS = 24          # further layouts of each
 EPOCHS, RATE, DECAY = 20, 0.05, 1e-5
 
@@ -252,11 +252,16 @@ def train(pages: list[str], seed: int = 17) -> Chain:
 
 # ---------------------------------------------------------------- Spark
 
-def fit(pages: DataFrame, page: str = "html", fit_pages: int = FIT_PAGES) -> Chain:
-    """Fit on a bounded sample of the pages, chosen by a hash of their html."""
-    text = pages.select(text_of(page).alias("t")).where((F.length("t") > 0) & (F.length("t") <= FIT_CHARS))
+def fit(pages: DataFrame, page: str = "html", fit_pages: int = FIT_PAGES, fit_chars: int = FIT_CHARS) -> Chain:
+    """Fit on a bounded sample of the pages, long or short, chosen by a hash of their html."""
+    text = pages.select(text_of(page).alias("t")).where(F.length("t") > 0)
     hashed = text.withColumn("h", F.xxhash64("t"))
-    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(fit_pages).collect()]
+    chosen, left = [], fit_chars
+    for r in hashed.select("h", F.length("t").alias("n")).distinct().orderBy("h", "n").limit(fit_pages).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        chosen.append(r["h"])
     rows = hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
     return train([r["t"] for r in rows])
 

@@ -1,9 +1,11 @@
 """Pre-tokens of byte-level BPE texts, through bounded memos.
 
-A pre-token is one match of the split pattern: letters, digits or other signs, each with at
-most one space before, or a run of white space. No match spans a space that follows a
-non-space, so a text may be cut in front of such spaces and the pieces matched alone: most
-pieces (a space and a word) recur and come from the memo, without running the pattern.
+A pre-token is one match of the split pattern. For the patterns of ``CUT_AT_SPACES`` it is letters,
+digits or other signs, each with at most one space before, or a run of white space. No match
+spans a space that follows a non-space, so a text may be cut in front of such spaces and the
+pieces matched alone: most pieces (a space and a word) recur and come from the memo, without
+running the pattern. With any other pattern the whole text is matched, and the memo
+holds single pre-tokens.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from loanlab.llm.common import ship
 ship(__name__)
 
 SIGNS = frozenset(".,;:!?")
+# fixed value: the split patterns for which texts may be cut in front of spaces
+CUT_AT_SPACES = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
 MEMO_ENTRIES = 500_000  # per generation: about 75 MB
 MEMO_KEY = 64           # longer pieces are worked out each time
 OTHER_ENTRIES = 50_000  # of pieces that are not plain words
@@ -68,6 +72,7 @@ class Pieces:
     def __init__(self, pattern: str, one: Callable[[str], object], none):
         split = regex.compile(pattern).findall
         token = Memo(one, OTHER_ENTRIES)
+        self.split, self.token, self.cuts = split, token, pattern in CUT_AT_SPACES
 
         def fold(piece: str):
             value = none
@@ -80,6 +85,8 @@ class Pieces:
         self.rough = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 
     def __call__(self, text: str) -> list:
+        if not self.cuts:
+            return list(map(self.token.__getitem__, self.split(text)))
         if self.unsafe(text):
             return list(map(self.plain.__getitem__, self.rough(text)))
         head, *rest = text.split(" ")

@@ -15,6 +15,7 @@ column with the name of a result column gives way to it.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from heapq import heapify, heappop, heappush
 
@@ -69,8 +70,9 @@ class Model:
     """What counting needs of a vocabulary file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(path, "rb") as f:
+            content = f.read()
+        spec, self.digest = json.loads(content), hashlib.sha256(content).hexdigest()
         model, steps = spec["model"], spec.get("pre_tokenizer") or {}
         if (model["type"] != "BPE" or spec.get("normalizer") or steps.get("type") != "ByteLevel"
                 or steps.get("add_prefix_space") or not steps.get("use_regex", True) or model.get("ignore_merges")
@@ -122,8 +124,8 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, te
                  keep: tuple = ("doc_id",)) -> DataFrame:
     """Kept columns, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more tokens than the limit)."""
     spark = docs.sparkSession
-    shared = Shared(spark, Model(path))
-    name = f"{spark.sparkContext.applicationId}:{path}"
+    model = Model(path)
+    shared, name = Shared(spark, model), model.digest  # a changed file is another model
     names = kept(keep, ("n_bytes", "n_tokens", "over_limit"))
     inner = docs.select(*[col(k) for k in names], text_of(text).alias("_t"),
                         F.octet_length(text_of(text)).cast("bigint").alias("n_bytes"))

@@ -37,7 +37,7 @@ def plain_coverages(docs, items, least):
         words = decontamination.words_of(text or "")
         for item_id, item_text in items:
             item = decontamination.words_of(item_text or "")
-            share = sum(n for _, _, n in plain_tiles(words, item, least)) / len(item) if len(item) >= least else 0
+            share = sum(n for _, _, n in plain_tiles(words, item, min(least, len(item)))) / len(item) if item else 0
             if share:
                 out.setdefault((doc_id, item_id), []).append(round(share, 12))
     return out
@@ -50,7 +50,7 @@ def test_reordered_passages_and_odd_rows(spark, odd_docs, no_docs):
         [(1, " ".join(words)), (2, halves.upper()), (2, halves.upper()), (3, " ".join(words[:6])), (4, None), (None, " ".join(words)),
          (5, "nothing of it here at all today"), (6, "x " * 3000 + " ".join(words[2:16]) + " y" * 3000)],
         "doc_id long, text string")
-    items = [(7, " ".join(words)), (7, " ".join(words)), (8, "too short item"), (9, None), (None, "one two three four five six")]
+    items = [(7, " ".join(words)), (7, " ".join(words)), (8, "Lazy DOG"), (8, "seven large boats"), (9, None), (None, "one two three four five six")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = plain_coverages([tuple(r) for r in docs.collect() if r.doc_id != 6], list(dict.fromkeys(items)), 5)
     for size in (decontamination.BLOCK_WORDS, 1):  # 1: every item a block of its own

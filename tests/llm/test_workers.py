@@ -24,4 +24,4 @@ def test_queries_without_the_package_on_executors(sf, tmp_path):
     done = subprocess.run([sys.executable, "run.py", root, sf], cwd=tmp_path, env=env, capture_output=True, text=True,
                           timeout=900)
     counts = dict(line.split() for line in done.stdout.splitlines() if line.startswith("op"))
-    assert len(counts) == 10, done.stderr[-2000:]
+    assert len(counts) == 13, done.stderr[-2000:]
