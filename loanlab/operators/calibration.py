@@ -65,16 +65,18 @@ def calibration(predictions: DataFrame, bins: int = 10) -> DataFrame:
 _BLOCKS = "model_name string, part long, low double, high double, pos long, n long"
 
 
-def _pooled(frames: pd.DataFrame) -> list[list]:
-    """Neighbouring blocks whose rates do not rise, pooled; blocks come by ascending score."""
-    out = []
-    for low, high, pos, n in zip(frames["low"], frames["high"], frames["pos"], frames["n"]):
-        out.append([low, high, int(pos), int(n)])
-        # rates are compared as products of whole numbers: no rounding
-        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
-            _, high_, pos_, n_ = out.pop()
-            out[-1][1], out[-1][2], out[-1][3] = high_, out[-1][2] + pos_, out[-1][3] + n_
-    return out
+def _pooling():
+    """A function from the blocks of one group to its pooled blocks, by ascending score."""
+    def pool(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out = rows.sort_values("low"), []
+        for low, high, pos, n in zip(rows["low"], rows["high"], rows["pos"], rows["n"]):
+            out.append([low, high, int(pos), int(n)])
+            # rates are compared as products of whole numbers: no rounding
+            while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+                _, top, hits, size = out.pop()
+                out[-1][1:] = [top, out[-1][2] + hits, out[-1][3] + size]
+        return pd.DataFrame([(*key, *b) for b in out], columns=["model_name", "part", "low", "high", "pos", "n"])
+    return pool
 
 
 def isotonic(predictions: DataFrame) -> DataFrame:
@@ -90,10 +92,7 @@ def isotonic(predictions: DataFrame) -> DataFrame:
     blocks = placed.select("model_name", "part", F.col("score").alias("low"), F.col("score").alias("high"), "pos",
                            (F.col("pos") + F.col("neg")).alias("n"))
 
-    def pool(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = _pooled(rows.sort_values("low"))
-        return pd.DataFrame([(*key, *b) for b in found], columns=["model_name", "part", "low", "high", "pos", "n"])
-
+    pool = _pooling()
     while True:
         blocks = durable(blocks.groupBy("model_name", "part").applyInPandas(pool, _BLOCKS))
         edges = blocks.groupBy("model_name", "part").agg(

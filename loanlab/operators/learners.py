@@ -10,19 +10,19 @@ from __future__ import annotations
 
 import logging
 import math
-import re
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial, reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from loanlab.fixed_values import CV_FOLDS, RANDOM_SEED, TUNING_GRIDS
 from loanlab.operators.evaluate import METRICS, decide, evaluate
 from loanlab.operators.neighbors import nearest_neighbors
 from loanlab.operators.resample import balanced_weights, class_counts, kfold
-from loanlab.session import shared_dir
+from loanlab.session import durable, shared_dir
 
 log = logging.getLogger(__name__)
 
@@ -240,40 +240,107 @@ def fit_naive_bayes(train: DataFrame, id_col: str, smoothing: float = 1e-9) -> N
                             for r in rows})
 
 
-_SPLIT = re.compile(r"If \(feature (\d+) <= ([-+0-9.eE]+)\)")
+BINS = 128              # cuts of a feature that a stump chooses from
+BINNED_ROWS = 250_000   # binned rows of a task, about
+
+
+def _cuts(train: DataFrame, width: int, bins: int = BINS) -> list[list[float]]:
+    """Candidate cuts by feature: quantiles of a sketch with bounded state, without the largest value."""
+    x = vector_to_array("features")
+    wide = train.select(*[x[i].alias(f"x{i}") for i in range(width)], *[F.lit(0.0).alias("_")])
+    probs = [i / bins for i in range(bins + 1)]
+    found = wide.approxQuantile([f"x{i}" for i in range(width)], probs, 1.0 / (8 * bins))
+    return [sorted(set(q))[:-1] for q in found]
+
+
+def _binned(train: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """(codes, y): one byte per feature, the number of cuts below the value; stored once for all rounds."""
+    edges = [np.array(c) for c in cuts]
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(batch.num_rows, len(edges))
+            codes = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
+            rows = pa.array([r.tobytes() for r in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows, batch.column(1)], names=["codes", "y"])
+    stored = durable(train.select(vector_to_array("features"), F.col("label").cast("int")).mapInArrow(
+        run, "codes binary, y int"))
+    # a row is a few bytes now: fewer, fuller tasks a round
+    return stored.coalesce(stored.count() // BINNED_ROWS + 1)
+
+
+def _weight_sums(binned: DataFrame, margins: np.ndarray) -> np.ndarray:
+    """Row weights summed by (feature, bin, label). ``margins[f, b]``: half the log odds that the
+    stumps on feature f give to bin b so far, so a row's weight takes one look-up per feature."""
+    width, bins = margins.shape
+
+    def run(batches):
+        sums = np.zeros((width, bins * 2))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)
+            y = batch.column(1).to_numpy()
+            margin = margins[np.arange(width), codes].sum(axis=1)
+            weight = np.exp(np.where(y == 1, -margin, margin))
+            for f in range(width):
+                sums[f] += np.bincount(codes[:, f].astype(np.int64) * 2 + y, weight, bins * 2)
+        held = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums.ravel()[held])], names=["slot", "w"])
+    # features x bins x classes rows at most
+    out = np.zeros(width * bins * 2)
+    for r in binned.mapInArrow(run, "slot bigint, w double").groupBy("slot").agg(F.sum("w").alias("w")).collect():
+        out[r["slot"]] = r["w"]
+    return out.reshape(width, bins, 2)
+
+
+def _best_stump(sums: np.ndarray, cuts: list[list[float]]) -> tuple | None:
+    """(feature, cut number, P(1) left, P(1) right) with the least weighted Gini impurity; None without a gain."""
+    best, choice = None, None
+    for f, edges in enumerate(cuts):
+        left = sums[f].cumsum(axis=0)[:len(edges)]
+        right = sums[f].sum(axis=0) - left
+        n_left, n_right = left.sum(axis=1), right.sum(axis=1)
+        good = (n_left > 0) & (n_right > 0)
+        if not good.any():
+            continue
+        with np.errstate(divide="ignore", invalid="ignore"):
+            purity = (left ** 2).sum(axis=1) / n_left + (right ** 2).sum(axis=1) / n_right
+        at = int(np.where(good, purity, -np.inf).argmax())
+        if best is None or purity[at] > best:
+            best = purity[at]
+            choice = (f, at, float(left[at, 1] / n_left[at]), float(right[at, 1] / n_right[at]))
+    whole = sums[0].sum(axis=0)
+    if best is None or best <= (whole ** 2).sum() / whole.sum() * (1 + 1e-12):
+        return None
+    return choice
 
 
 def fit_adaboost(train: DataFrame, id_col: str, rounds: int = 100, rate: float = 0.1) -> StumpsModel:
-    """Two-class SAMME.R over depth-1 trees.
+    """Two-class SAMME.R over depth-1 trees, on rows binned and stored once.
 
-    A row's weight is a function of the stumps so far, so each round computes it from the
-    training table by one column expression: no weight table is written and the lineage
-    does not grow. Stumps sharing a cut are merged, which bounds that expression by the
-    number of distinct cuts (128 bins per feature).
+    A row's weight is a function of the stumps so far, so no weight table is written and the
+    lineage does not grow. A round is one pass over the stored bytes with one grouped sum
+    of weights by (feature, bin, label), whatever the number of stumps; the stump is chosen from those sums.
     """
     width = _width(train)
-    x, y = vector_to_array(F.col("features")), F.col("label")
-    model, gains = StumpsModel([], [0.0] * width), [0.0] * width
-    est = DecisionTreeClassifier(maxDepth=1, weightCol="weight", maxBins=128, seed=RANDOM_SEED,
-                                 minWeightFractionPerNode=0.0)
     rows = _binary(train)
+    cuts = _cuts(rows, width)
+    binned = _binned(rows, cuts)
+    model, gains = StumpsModel([], [0.0] * width), [0.0] * width
+    margins = np.zeros((width, max(map(len, cuts), default=0) + 1))
     for _ in range(rounds):
-        # w *= exp(-rate/2 * (ln p_true - ln p_other)); a tree does not mind the scale of w,
+        # w *= exp(-rate/2 * (ln p_true - ln p_other)); a stump does not mind the scale of w,
         # and with log odds below 37 the product stays far inside double range
-        margin = model.margin(0.5 * rate, x)
-        tree = est.fit(rows.withColumn("weight", F.exp(F.when(y == 1, -margin).otherwise(margin))))
-        found = _SPLIT.search(tree.toDebugString)
-        if not found:
+        found = _best_stump(_weight_sums(binned, margins), cuts)
+        if found is None:
             break
-        f, t = int(found.group(1)), float(found.group(2))
-
-        def p1(side):
-            probe = [0.0] * width
-            probe[f] = side
-            return float(tree.predictProbability(Vectors.dense(probe))[1])
-
-        model.stumps.append((f, t, p1(t - 1.0), p1(t + 1.0)))
-        gains = [g + float(v) for g, v in zip(gains, tree.featureImportances.toArray())]
+        f, at, left, right = found
+        margins[f, :at + 1] += 0.5 * rate * model.logit(left)
+        margins[f, at + 1:] += 0.5 * rate * model.logit(right)
+        model.stumps.append((f, cuts[f][at], left, right))
+        gains[f] += 1.0
     used = max(1, len(model.stumps))
     model.importances = [g / used for g in gains]
     return model
@@ -288,7 +355,7 @@ REGISTRY = {
     "LightGBM": (fit_histogram_boosting, "histogram boosting, weighted, on Spark ML trees"),
     "K-Nearest Neighbors": (fit_neighbors, "exact distributed nearest-neighbour join"),
     "Naive Bayes": (fit_naive_bayes, "Gaussian moments as column expressions"),
-    "AdaBoost": (fit_adaboost, "SAMME.R over Spark ML stumps"),
+    "AdaBoost": (fit_adaboost, "SAMME.R over binned stumps"),
 }
 
 

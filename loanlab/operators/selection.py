@@ -73,11 +73,15 @@ def hash_cutoffs(df: DataFrame, id_col: str, stratum: str | None, seed: int, wan
                 locate(s, r, r, table[s])
 
     while pending:
+        if digits >= 32:  # the prefix is a whole hash: rows of one repeated id
+            for (s, rank), (p, _, _) in pending.items():
+                cutoffs[s][rank] = p
+            break
         straddling = F.lit(False)
         for (s, _), (p, _, _) in pending.items():
             straddling = straddling | (_same("s" if stratum else None, s) & F.col("h").startswith(p))
         hot = keyed.filter(straddling)
-        if sum({(s, p): n for (s, _), (p, _, n) in pending.items()}.values()) <= _KEYS_ON_DRIVER or digits >= 32:
+        if sum({(s, p): n for (s, _), (p, _, n) in pending.items()}.values()) <= _KEYS_ON_DRIVER:
             keys = {}
             for row in hot.collect():
                 keys.setdefault((row["s"], row["h"][:digits]), []).append(row["h"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanlab.fixed_values import FEATURE_DICTIONARY, STRATEGY_MEAN, STRATEGY_MEDIAN, STRATEGY_MODE
 from loanlab.functions.scalars import r6
@@ -17,7 +18,7 @@ from loanlab.roles import LOAN_ROLES as R
 from loanlab.roles import LOAN_SCHEMA
 from loanlab.session import scratch_path
 from loanlab.sources.loan_applications import loan_applications, read_table
-from loanlab.sources.readers import load_table, validate_schema
+from loanlab.sources.readers import load_table, read_csv, validate_schema, validate_values
 
 # ---------------------------------------------------------------- scans
 
@@ -43,11 +44,33 @@ def s2(spark, sf):
     return load_table(spark, path, schema=None).df
 
 
-@query("s3_schema_validation", union_all(
-    [f"SELECT '{c}' AS \"column\", TRUE AS expected, {'FALSE' if c == 'loan_grade' else 'TRUE'} AS present"
-     for c in R.expected]))
+_TYPES = {f.name: f.dataType.simpleString() for f in LOAN_SCHEMA}
+
+
+def _validated_sql():
+    rows = []
+    for c in dict.fromkeys([*R.expected, *_CSV_COLUMNS]):
+        n, bad = f"count({c})", "0"
+        if c == "loan_grade":
+            n = bad = "max(CAST(NULL AS BIGINT))"
+        elif c == "person_age":
+            bad = "count(*) FILTER (person_age > 100)"
+        rows.append(f"SELECT '{c}' AS \"column\", {'TRUE' if c in R.expected else 'FALSE'} AS expected, "
+                    f"{'FALSE' if c == 'loan_grade' else 'TRUE'} AS present, '{_TYPES[c]}' AS type, "
+                    f"CAST({n} AS BIGINT) AS n_values, CAST({bad} AS BIGINT) AS n_unreadable FROM loans")
+    return loans_sql(union_all(rows))
+
+
+@query("s3_schema_validation", _validated_sql())
 def s3(spark, sf):
-    return validate_schema(loan_applications(spark, sf).drop("loan_grade"), R)
+    """A CSV without one expected column and with unreadable ages, checked text by text."""
+    path = scratch_path(spark, "loans-csv")
+    age = F.when(F.col("person_age") > 100, F.lit("over 100")).otherwise(F.col("person_age").cast("string"))
+    (loan_applications(spark, sf).select(*_CSV_COLUMNS).drop("loan_grade").withColumn("person_age", age)
+     .write.option("header", True).option("nullValue", "NA").csv(path))
+    raw = read_csv(spark, path, T.StructType([]))
+    validate_schema(raw, R)  # names only: warns
+    return validate_values(raw, LOAN_SCHEMA, R)
 
 
 @query("j4_loan_applications", loans_sql("SELECT * FROM loans"))
@@ -149,11 +172,12 @@ def a2(spark, sf):
 
 
 @query("j2_feature_dictionary", loans_sql(
-    "SELECT feature, coalesce(description, 'N/A') AS description FROM per_column LEFT JOIN words USING (feature)",
-    _WORDS, _PER_COLUMN))
+    "SELECT feature, coalesce(description, 'N/A') AS description, round(missing_pct, 6) AS missing_pct, unique_values "
+    "FROM per_column LEFT JOIN words USING (feature)", _WORDS, _PER_COLUMN))
 def j2(spark, sf):
-    """Dictionary lookup with a default, on the profile of the table (sketched distinct counts)."""
-    return prof.feature_info(loan_applications(spark, sf), exact=False).select("feature", "description")
+    """Dictionary lookup with a default, next to what was counted in the rows."""
+    info = prof.feature_info(loan_applications(spark, sf))
+    return info.select("feature", "description", r6("missing_pct").alias("missing_pct"), "unique_values")
 
 
 _DESCRIBE = """SELECT feature, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
@@ -219,12 +243,16 @@ def a7(spark, sf):
 
 
 @query("a8_type_histogram", loans_sql(
-    "SELECT CASE t WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
-    "WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' ELSE lower(t) END AS type, count(*) AS n_columns FROM types GROUP BY 1",
-    "one AS (SELECT * FROM loans LIMIT 1)",
-    "types AS (" + union_all(f"SELECT typeof({c}) AS t FROM one" for c in LOAN_COLUMNS) + ")"))
+    "SELECT type, count(*) AS n_columns FROM kinds GROUP BY type",
+    "kinds AS (" + union_all(f"""SELECT CASE WHEN any_value(typeof({c})) IN ('INTEGER', 'BIGINT') AND count({c}) = count(*) THEN 'bigint'
+  WHEN any_value(typeof({c})) IN ('INTEGER', 'BIGINT', 'DOUBLE') THEN 'double' ELSE 'string' END AS type FROM loans"""
+                             for c in _CSV_COLUMNS) + ")"))
 def a8(spark, sf):
-    return prof.type_histogram(loan_applications(spark, sf))
+    """Types as the values of a CSV show them: a missing number or a fraction makes its column a double."""
+    path = scratch_path(spark, "loans-csv")
+    (loan_applications(spark, sf).select(*_CSV_COLUMNS)
+     .write.option("header", True).option("nullValue", "NA").csv(path))
+    return prof.type_histogram(read_csv(spark, path))
 
 
 def _missing_rows():

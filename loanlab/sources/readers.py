@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlab.fixed_values import NULL_TOKENS
-from loanlab.functions.scalars import nan_to_null
+from loanlab.functions.scalars import nan_to_null, rows_from_one
 from loanlab.operators import profile
 from loanlab.roles import LOAN_ROLES, LOAN_SCHEMA, Roles
 from loanlab.session import path_exists
@@ -131,6 +131,33 @@ def validate_schema(df: DataFrame, roles: Roles = LOAN_ROLES, strict: bool = Fal
         [(c, True, c in have) for c in roles.expected], "column string, expected boolean, present boolean")
 
 
+def validate_values(raw: DataFrame, schema: T.StructType = LOAN_SCHEMA, roles: Roles = LOAN_ROLES) -> DataFrame:
+    """(column, expected, present, type, n_values, n_unreadable): do the texts of a scan fit the declared types?
+
+    ``raw`` holds texts as they stand in the files. One aggregate over the rows; columns that are
+    declared or found in the files are listed, absent ones without counts.
+    """
+    kinds, have = {f.name: f.dataType for f in schema}, set(raw.columns)
+    names = list(dict.fromkeys([*roles.expected, *kinds, *raw.columns]))
+
+    def readable(c):
+        text, kind = F.trim(F.col(f"`{c}`")), kinds.get(c, T.StringType())
+        value = text.try_cast(kind)
+        if isinstance(kind, T.IntegralType):  # a cast alone would cut off fractions
+            value = F.when(text.rlike(r"^[+-]?\d+$"), value)
+        return value
+    found = [c for c in names if c in have]
+    facts = raw.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(found)],
+                    *[F.count_if(F.col(f"`{c}`").isNotNull() & readable(c).isNull()).alias(f"b{i}") for i, c in enumerate(found)])
+    place = {c: i for i, c in enumerate(found)}
+    none = F.lit(None).cast("bigint")
+    return rows_from_one(facts, [F.struct(
+        F.lit(c).alias("column"), F.lit(c in roles.expected).alias("expected"), F.lit(c in have).alias("present"),
+        F.lit(kinds.get(c, T.StringType()).simpleString()).alias("type"),
+        (F.col(f"n{place[c]}") if c in have else none).alias("n_values"),
+        (F.col(f"b{place[c]}") if c in have else none).alias("n_unreadable")) for c in names])
+
+
 def load_table(spark: SparkSession, path: str, roles: Roles = LOAN_ROLES,
                schema: T.StructType | None = LOAN_SCHEMA, validate: bool = True) -> LoadedTable:
     """Read a CSV or parquet table; ``FileNotFoundError`` if the path is absent."""
