@@ -10,8 +10,9 @@ order its passages stand. Only the stretches of a document that lie in common se
 tiling; no tile can lie elsewhere.
 
 The benchmark is a stated query set. It goes out in blocks of at most ``BLOCK_WORDS`` words,
-whose index is broadcast; a larger benchmark takes one pass over the documents per block.
-Documents are never shuffled.
+whose index is broadcast; a larger benchmark takes one pass over the documents per block, whose
+result is stored before the next index goes out, so one index at a time is held. Documents are
+never shuffled.
 
 Defined results: null texts count as empty and hold nothing; an item of fewer words than
 ``least`` is one seed of all its words, one without words is never found; equal benchmark rows count once, items may share an id or have a
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlab.llm.common import Shared, col, fresh, kept, map_texts, ship, text_of
+from loanlab.session import durable
 
 ship(__name__)
 
@@ -191,7 +193,18 @@ def tile(doc: list[int], item: list[int], least: int) -> list[tuple[int, int, in
         size = max(least, size // 2)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[tuple[list, bool]]:
+    """(items, whether another block follows)."""
+    held = None
+    for rows in _cut(benchmark, item_id, text, block_words):
+        if held is not None:
+            yield held, True
+        held = rows
+    if held is not None:
+        yield held, False
+
+
+def _cut(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list]:
     rows, words = [], 0
     for row in benchmark.select(col(item_id).alias("i"), text_of(text).alias("t")).distinct().toLocalIterator():
         rows.append((row["i"], row["t"]))
@@ -211,9 +224,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tu
     kind = benchmark.schema[item_id].dataType.simpleString()
     names = kept(keep, ("item_id", "coverage", "tiles"))
     made = f"_hits array<struct<item:{kind},coverage:double,tiles:array<struct<at:int,item_at:int,words:int>>>>"
-    out = None
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        index = Shared(spark, Index(block, least))
+    out, several = None, False
+    for block, more in _blocks(benchmark, item_id, item_text, block_words):
+        index, several = Shared(spark, Index(block, least)), several or more
 
         def start(index=index):
             known = index.value
@@ -225,6 +238,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tu
             return work
         hits = map_texts(docs, text, names, made, start).select(*[col(k) for k in names], F.explode("_hits").alias("_h"))
         part = hits.select(*[col(k) for k in names], F.col("_h.item").alias("item_id"), "_h.coverage", "_h.tiles")
+        if several:  # stored, so that one index at a time is held
+            part = durable(part)
+            index.sent.unpersist()
         out = part if out is None else out.unionByName(part)
     if out is None:
         empty = docs.limit(0).select(*[col(k) for k in names], F.lit(None).cast(kind).alias("item_id"))
@@ -243,8 +259,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
           block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, with all columns, that hold less than ``share`` of every item."""
     spark, out = docs.sparkSession, docs
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        index = Shared(spark, Index(block, least))
+    several = False
+    for block, more in _blocks(benchmark, item_id, item_text, block_words):
+        index, several = Shared(spark, Index(block, least)), several or more
         mark, = fresh(docs, "_leak")
 
         def start(index=index):
@@ -254,4 +271,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
         whole, = fresh(out, "_whole")
         out = (map_texts(out.withColumn(whole, col(text)), whole, docs.columns, f"`{mark}` boolean", start)
                .where(~col(mark)).select(*[col(c) for c in docs.columns]))
+        if several:
+            out = durable(out)
+            index.sent.unpersist()
     return out

@@ -67,18 +67,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
     parts = pages.select(*[col(k) for k in names], host_of(address).alias("host"), path_of(address).alias("path"))
 
     places = parts.select("host", "path").where("host <> ''").distinct()
-    labelled = places.withColumn("labels_all", F.split("host", r"\."))
-    # a host of n labels has the suffixes of 1..n labels; of the paths, the prefixes some rule is as long as
-    suffixes = labelled.select("host", "path", "labels_all", F.explode(F.sequence(
-        F.lit(1), F.size("labels_all"))).alias("labels"))
+    # of a host's suffixes those with as many labels as some rule has; of the paths, the prefixes some rule is as long as
+    used = sorted(r["labels"] for r in shapes.select("labels").distinct().collect())  # a few small numbers
+    n_labels = F.size(F.split("host", r"\."))
+    suffixes = places.select("host", "path", F.explode(F.filter(
+        F.array(*[F.lit(n) for n in used]).cast("array<int>"), lambda n: n <= n_labels)).alias("labels"))
     by_label = shapes.groupBy("labels").agg(F.collect_set("chars").alias("lengths"))
     if n_rules <= BROADCAST_RULES:  # there are no more shapes than rules
         by_label = F.broadcast(by_label)
     expanded = (suffixes.join(by_label, "labels").select(
-        "host", "path", "labels", "labels_all",
-        F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("chars"))
-        .select("host", "path", F.concat_ws(".", F.slice("labels_all", F.size("labels_all") - F.col("labels") + 1,
-                                                         F.col("labels"))).alias("suffix"),
+        "host", "path", "labels", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("chars"))
+        .select("host", "path", F.expr("substring_index(host, '.', -labels)").alias("suffix"),
                 F.expr("substring(path, 1, chars)").alias("prefix"))
         .withColumn("digest", F.sha2(_expression(F.col("suffix"), F.col("prefix")), 256))
         .withColumn("key", F.substring("digest", 1, PREFIX_DIGITS)))
