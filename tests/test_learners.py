@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from loanlab import fixed_values as fv
@@ -237,3 +238,48 @@ def test_stream_gives_the_batch_rows(spark, loans):
     assert (spark.read.parquet(sink).select(R.id, vector_to_array("features").alias("a")).exceptAll(
         model.transform(loans).select(R.id, vector_to_array("features").alias("a"))).count()) == 0
     assert spark.read.parquet(sink).count() == loans.count()
+
+
+def plain_boosting(x, y, rounds, rate):
+    """SAMME.R with stumps, every cut of every feature tried on the rows themselves."""
+    weights, logits = np.ones(len(y)), np.zeros(len(y))
+    for _ in range(rounds):
+        best = None
+        for f in range(x.shape[1]):
+            for cut in sorted(set(x[:, f]))[:-1]:
+                left = x[:, f] <= cut
+                impurity = 0.0
+                for side in (left, ~left):
+                    n = weights[side].sum()
+                    p = weights[side & (y == 1)].sum() / n
+                    impurity += n * 2 * p * (1 - p)
+                if best is None or impurity < best[0] - 1e-12:
+                    best = (impurity, left)
+        left = best[1]
+        p = np.empty(len(y))
+        for side in (left, ~left):
+            p[side] = weights[side & (y == 1)].sum() / weights[side].sum()
+        eps = np.finfo(float).eps
+        step = np.log(np.clip(p, eps, None)) - np.log(np.clip(1 - p, eps, None))
+        logits += step / rounds
+        weights *= np.exp(-0.5 * rate * np.where(y == 1, step, -step))
+        weights /= weights.sum()
+    return 1 / (1 + np.exp(-logits))
+
+
+def test_boosted_stumps_equal_plain_loops(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(90, 3)), 2)
+    y = ((x[:, 0] + 0.5 * x[:, 1] + rng.normal(0, 0.7, 90)) > 0).astype(int)
+    rows = spark.createDataFrame([(i, Vectors.dense(v), float(t)) for i, (v, t) in enumerate(zip(x, y))], ["id", "features", "label"])
+    model = ml.fit_model("AdaBoost", rows, "id", rounds=12, rate=0.5)
+    got = {r.id: r.score for r in ml.predict("AdaBoost", model, rows, "id").collect()}
+    want = plain_boosting(x, y, 12, 0.5)
+    assert len(model.stumps) == 12 and sum(model.importances) == pytest.approx(1.0)
+    assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in range(90))
+
+
+def test_boosted_stumps_stop_without_a_split(spark):
+    rows = spark.createDataFrame([(i, Vectors.dense([1.0, 2.0]), float(i % 2)) for i in range(10)], ["id", "features", "label"])
+    model = ml.fit_model("AdaBoost", rows, "id")
+    assert model.stumps == [] and {r.score for r in ml.predict("AdaBoost", model, rows, "id").collect()} == {0.5}
