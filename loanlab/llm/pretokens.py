@@ -21,7 +21,7 @@ ship(__name__)
 SIGNS = frozenset(".,;:!?")
 # fixed value: the split patterns for which texts may be cut in front of spaces
 CUT_AT_SPACES = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
-MEMO_ENTRIES = 500_000  # per generation: about 75 MB
+MEMO_ENTRIES = 400_000  # per generation: about 60 MB
 MEMO_KEY = 64           # longer pieces are worked out each time
 OTHER_ENTRIES = 50_000  # of pieces that are not plain words
 
