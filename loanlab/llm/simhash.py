@@ -97,7 +97,8 @@ def _pairs(members: DataFrame, keys: list[str], distance: int, wild: list[F.Colu
     for w in wild:
         on &= gap.bitwiseAND(w) == w
     on &= F.bit_count(gap) <= distance
-    return a.join(b, on).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    # signatures are some dozens of times the rows that Spark estimates: never broadcast
+    return a.join(b.hint("merge"), on).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
 def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
@@ -109,7 +110,8 @@ def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataF
     signatures = spread.select("fp", F.posexplode(F.array(
         *[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m, _ in first])).alias("slot", "part"))
     counts = signatures.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = durable(signatures.join(counts, ["slot", "part"]))
+    # the estimate does not see the explode and would send all signatures through the driver
+    shared = durable(signatures.join(counts.hint("merge"), ["slot", "part"]))
     wild = F.element_at(_longs([w for _, w in first]), F.col("a.slot") + 1)
     light = _pairs(shared.where(F.col("n") <= bucket), ["slot", "part"], distance, [wild])
 

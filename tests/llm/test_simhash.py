@@ -101,3 +101,16 @@ def test_kept_columns_give_way(spark):
     rows = spark.createDataFrame([(1, "a b", "old")], "doc_id long, text string, fingerprint string")
     got = simhash.fingerprints(rows, keep=("doc_id", "fingerprint"))
     assert got.columns == ["doc_id", "fingerprint"] and got.select(F.col("fingerprint")).first()[0] != "old"
+
+
+def test_signatures_are_never_broadcast(spark, monkeypatch):
+    """Spark's estimate does not see that a fingerprint becomes dozens of rows, so a small table looked fit to send."""
+    plans = []
+
+    def stored(df):  # planned, not run
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return df
+    monkeypatch.setattr(simhash, "durable", stored)
+    found = simhash.links(spark.range(50).select(F.xxhash64("id").alias("fp")))
+    stored(found)
+    assert len(plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
