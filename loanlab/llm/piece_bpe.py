@@ -139,15 +139,18 @@ class _Uncut(Exception):
 
 
 class Stems(Memo):
-    """Values of words. Where no piece joins a word's last two signs, it is put together, not remembered."""
+    """Values of words. The last signs that no piece joins to the ones before are put together, not remembered."""
 
     def __init__(self, work, joined: set[str], tails: Memo):
         super().__init__(work, MEMO_WORDS)
         self.joined, self.tails = joined, tails
 
     def __missing__(self, word):
-        if len(word) > 1 and word[-2:] not in self.joined:
-            return self[word[:-1]] + self.tails[word[-1]]
+        at = len(word)
+        while at > 1 and word[at - 2:at] not in self.joined:
+            at -= 1
+        if at < len(word):  # a loop: such signs can be thousands
+            return b"".join((self[word[:at]], *map(self.tails.__getitem__, word[at:])))
         return super().__missing__(word)
 
 

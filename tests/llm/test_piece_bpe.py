@@ -111,3 +111,13 @@ def test_other_models_are_refused():
     spec.pieces[300].type = piece_bpe.USER
     with pytest.raises(ValueError):
         piece_bpe.Model(spec.SerializeToString())
+
+
+@pytest.mark.parametrize("word", ["🙂" * 5000, "zq" * 3000, "ab" + "\n" * 5000, "ж的" * 900])
+def test_long_runs_that_no_piece_joins(word):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    encoder = piece_bpe.Encoder(piece_bpe.read_model(PATH))
+    text = f"a {word} b"
+    ids, ends = encoder.encode(text)
+    assert ids.tolist() == library.encode(text) and ends[-1] == len(text.encode())
+    assert encoder.decode(ids) == library.decode(ids.tolist())
