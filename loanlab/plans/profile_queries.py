@@ -16,7 +16,7 @@ from loanlab.plans.sql_parts import (
 )
 from loanlab.roles import LOAN_ROLES as R
 from loanlab.roles import LOAN_SCHEMA
-from loanlab.session import scratch_path
+from loanlab.session import durable, scratch_path
 from loanlab.sources.loan_applications import loan_applications, read_table
 from loanlab.sources.readers import load_table, read_csv, validate_schema, validate_values
 
@@ -107,7 +107,9 @@ def _remove_ctes():
 @query("f3_remove_outliers", loans_sql(
     f"SELECT app_id, {', '.join(NUM)} FROM {_remove_ctes()[1]}", *_remove_ctes()[0]))
 def f3(spark, sf):
-    return out.handle_outliers(loan_applications(spark, sf), R, "remove").select(R.id, *R.numeric)
+    # the table is a join: stored once, as the search for every column's fences starts from it
+    rows = durable(loan_applications(spark, sf).select(R.id, *R.numeric))
+    return out.handle_outliers(rows, R, "remove").select(R.id, *R.numeric)
 
 
 @query("f4_clip_outliers", loans_sql(
