@@ -16,6 +16,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanlab.session import durable
+
 UNKNOWN = 0
 
 
@@ -67,7 +69,7 @@ def fact(df: DataFrame, keys: dict[str, list[str]], measures: Iterable[str]) ->
 
 def orphans(facts: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:
     """(key, n): fact rows whose member is missing from the dimension; no rows if all are whole."""
-    out = None
+    facts, out = durable(facts.select(*dimensions)), None  # every key reads the facts
     for key, members in dimensions.items():
         # keys are counted first: the join sees each member once, however many rows it has
         held = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

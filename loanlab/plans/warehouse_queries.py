@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loanlab.functions.scalars import r6
 from loanlab.operators import history, star
 from loanlab.plans.registry import loans_sql, query
+from loanlab.session import durable
 from loanlab.sources.loan_applications import loan_applications, read_table
 
 ATTRIBUTES = ("person_home_ownership", "cb_person_default_on_file")
@@ -94,24 +95,24 @@ WHERE {_key_sql(*natural)} <> 0 UNION ALL SELECT 0, {nulls})""", _APPLICATIONS,
 
 @query("x16_dim_product", _dimension_sql("product_key", "staged", ", CASE WHEN loan_grade IN ('A', 'B') THEN 'low' "
                                          "WHEN loan_grade = 'C' THEN 'middle' WHEN loan_grade IS NOT NULL THEN 'high' END AS risk_band"))
-def x16_product(spark, sf):
+def x16_product(spark, sf, rows=None):
     grade = F.col("loan_grade")
     risk = F.when(grade.isin("A", "B"), "low").when(grade == "C", "middle").when(grade.isNotNull(), "high")
-    return star.dimension(staged(spark, sf), "product_key", KEYS["product_key"], {"risk_band": risk})
+    return star.dimension(rows or staged(spark, sf), "product_key", KEYS["product_key"], {"risk_band": risk})
 
 
 @query("x16_dim_credit_profile", _dimension_sql("profile_key", "staged"))
-def x16_profile(spark, sf):
-    return star.dimension(staged(spark, sf), "profile_key", KEYS["profile_key"])
+def x16_profile(spark, sf, rows=None):
+    return star.dimension(rows or staged(spark, sf), "profile_key", KEYS["profile_key"])
 
 
 @query("x16_dim_date", _dimension_sql("date_key", "staged", ", CAST(year(CAST(application_date AS DATE)) AS INTEGER) AS year, "
                                       "CAST(quarter(CAST(application_date AS DATE)) AS INTEGER) AS quarter, "
                                       "CAST(month(CAST(application_date AS DATE)) AS INTEGER) AS month, "
                                       "isodow(CAST(application_date AS DATE)) >= 6 AS is_weekend"))
-def x16_date(spark, sf):
+def x16_date(spark, sf, rows=None):
     d = F.to_date("application_date")
-    return star.dimension(staged(spark, sf), "date_key", KEYS["date_key"], {
+    return star.dimension(rows or staged(spark, sf), "date_key", KEYS["date_key"], {
         "year": F.year(d), "quarter": F.quarter(d), "month": F.month(d), "is_weekend": F.weekday(d) >= 5})
 
 
@@ -126,8 +127,8 @@ def x16_customer(spark, sf):
 
 @query("x16_fact_applications", loans_sql("SELECT " + ", ".join(
     [f"{_key_sql(*n)} AS {k}" for k, n in KEYS.items()] + list(MEASURES)) + " FROM staged", _APPLICATIONS, _STAGED))
-def x16_fact(spark, sf):
-    return star.fact(staged(spark, sf), KEYS, MEASURES)
+def x16_fact(spark, sf, rows=None):
+    return star.fact(rows or staged(spark, sf), KEYS, MEASURES)
 
 
 @query("x16_rollup", loans_sql("""SELECT CAST(year(application_ts) AS INTEGER) AS year, segment, loan_intent,
@@ -149,6 +150,8 @@ def x16_rollup(spark, sf):
                           "WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) HAVING count(*) > 0")
 def x16_orphans(spark, sf):
     """Fact rows without a member in one of the four dimensions: none, if the schema is whole."""
-    dimensions = {"customer_key": x16_customer(spark, sf), "product_key": x16_product(spark, sf),
-                  "profile_key": x16_profile(spark, sf), "date_key": x16_date(spark, sf)}
-    return star.orphans(x16_fact(spark, sf), dimensions)
+    # two joins lie behind the rows: stored once, as the facts and three dimensions start from them
+    rows = durable(staged(spark, sf).select(*dict.fromkeys(c for natural in KEYS.values() for c in natural), *MEASURES))
+    dimensions = {"customer_key": x16_customer(spark, sf), "product_key": x16_product(spark, sf, rows),
+                  "profile_key": x16_profile(spark, sf, rows), "date_key": x16_date(spark, sf, rows)}
+    return star.orphans(x16_fact(spark, sf, rows), dimensions)
