@@ -16,7 +16,7 @@ from loanlab.plans.sql_parts import (
     CAT, FEATURE_NAMES, FENCES, MODES, NUM, ONE_HOT, const, long_cat, long_num, prep_ctes, split_ctes, union_all,
 )
 from loanlab.roles import LOAN_ROLES as R
-from loanlab.session import scratch_path
+from loanlab.session import durable, scratch_path
 from loanlab.sources.loan_applications import loan_applications, read_table
 from loanlab.sources.prepared_store import load_prepared, prepared_exists, save_prepared
 
@@ -28,7 +28,7 @@ def labelled(spark, sf):
 
 def fitted(spark, sf):
     """Clip, then fit the preprocessor: (clipped table, model)."""
-    df = loan_applications(spark, sf)
+    df = durable(loan_applications(spark, sf))  # a join: stored once, as every pass of the fit reads it
     fences = out.fence_constants(df, R.numeric)
     clipped = out.clip(df, fences)
     return clipped, pp.fit_preprocessor(clipped, R, {c: f["median"] for c, f in fences.items()})
@@ -136,7 +136,7 @@ FROM (SELECT split, label, count(*) AS n FROM parted GROUP BY split, label)"""
     _BALANCED.replace("22 AS", "CAST(22 AS INT) AS"), _LABELLED, *_COUNTS))
 def p10(spark, sf):
     """Clip, impute, encode, split, oversample train: rows per split and class, vector size."""
-    ready = prepare(loan_applications(spark, sf), R)
+    ready = prepare(durable(loan_applications(spark, sf)), R)
     return ready.rows.groupBy("split", "label").agg(
         F.count("*").alias("n"), F.max(F.size(vector_to_array("features"))).alias("n_features"))
 
