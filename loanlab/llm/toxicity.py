@@ -7,7 +7,8 @@ the maxima. Because of the maximum, the length of a text does not dilute a findi
 
 The fit takes a bounded sample of labelled rows (``FIT_ROWS`` of each class at most, chosen by
 a hash of the id, as long as their texts, short or long, have ``FIT_CHARS`` characters in sum) and
-runs in numpy with Adam on the driver. A fifth of the sample is kept back: on it the logit is scaled so that
+runs in numpy with Adam on the driver. A fifth of the sample is kept back: on it and on all labelled rows
+beyond the sample, scored by Spark and counted by logit (rounded to ``1 / STEPS``), the logit is scaled so that
 the score is a probability at the classes' true shares, and a threshold is chosen for every
 language that has enough rows of both classes (others share one threshold over all). Scoring
 covers whole texts on the executors, a stretch at a time with the overlap that the widest
@@ -44,6 +45,7 @@ DIMS, FILTERS, WIDTHS = 12, 12, (1, 2, 3)
 STEMS = (4, 5, 6)     # letters of the further hashes
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.01, 1e-5
 STRETCH = 1 << 14     # words scored at a time
+STEPS, MOST = 128, 40  # logits are counted in steps of 1 / STEPS up to this size: bounds what the driver gets
 LEAST_OF_CLASS = 20   # rows of each class that a language needs for a threshold of its own
 _WORDS = re.compile(r"\w+").findall
 
@@ -155,10 +157,11 @@ class Classifier:
                         np.add.at(grads["table"], rows[:, column], push)
         return grads
 
-    def fit(self, ids: list[np.ndarray], labels: np.ndarray, langs: list, seed: int = 11) -> "Classifier":
+    def fit(self, ids: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> np.ndarray:
+        """Learns the weights from four fifths of the rows; their places are returned."""
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(ids))
-        held, train = order[:len(ids) // 5], order[len(ids) // 5:]
+        train = order[len(ids) // 5:]
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
@@ -173,14 +176,18 @@ class Classifier:
                     second[k] += 0.001 * (g * g - second[k])
                     self.weights[k] -= rate * (first[k] / (np.sqrt(second[k]) + 1e-8) + DECAY * self.weights[k])
         self.fitted = True
-        self._calibrate(np.array([self.logit(ids[i]) for i in held]), labels[held], [langs[i] for i in held])
-        return self
-
-    def _calibrate(self, z: np.ndarray, y: np.ndarray, langs: list) -> None:
-        """Scale and shift by weighted logistic regression at the true shares, then the thresholds."""
-        ones = max(1, y.sum())
-        weight = np.where(y == 1, self.share / ones, (1 - self.share) / max(1, len(y) - ones)) * len(y)
-        goal = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))  # smoothed: never sure
+        return np.sort(train)
+
+    def calibrate(self, z: np.ndarray, y: np.ndarray, langs: list, n: np.ndarray) -> None:
+        """Scale and shift by weighted logistic regression at the true shares, then the thresholds.
+
+        ``n``: rows of that logit, label and language.
+        """
+        if not len(z):
+            return
+        total, ones = n.sum(), max(1, (n * y).sum())
+        weight = n * np.where(y == 1, self.share / ones, (1 - self.share) / max(1, total - ones)) * total
+        goal = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (max(1, total - ones) + 2))  # smoothed: never sure
         a = b = 0.0
         for _ in range(50):  # Newton steps, damped
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
@@ -195,7 +202,7 @@ class Classifier:
         self.threshold = _best_cut(scores, y, weight)
         for lang in sorted({x for x in langs if x is not None}):
             own = np.array([x == lang for x in langs])
-            if min(y[own].sum(), (1 - y[own]).sum()) >= LEAST_OF_CLASS:
+            if min((n * y)[own].sum(), (n * (1 - y))[own].sum()) >= LEAST_OF_CLASS:
                 self.thresholds[lang] = _best_cut(scores[own], y[own], weight[own])
 
 
@@ -223,7 +230,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
         label: str = "toxic", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Classifier:
-    """Fit on a bounded sample of the labelled rows that are not held out."""
+    """Weights from a bounded sample of the labelled rows that are not held out, scale and thresholds from all the others."""
     known = (labels.where(col(label).isin(0, 1) & col(id_col).isNotNull() & ~held_out(id_col))
              .groupBy(col(id_col).alias("i")).agg(F.max(col(label)).cast("int").alias("y")))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
@@ -247,7 +254,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     if len(rows) < 10 or y.min() == y.max():
         return model
     memo = Memo(_codes)
-    return model.fit([model.encode(r["r"]["t"], memo) for r in rows], y, [r["r"]["l"] for r in rows])
+    learned = model.fit([model.encode(r["r"]["t"], memo) for r in rows], y)
+    model.calibrate(*_counted(texts, known, model, [rows[i]["i"] for i in learned], docs.sparkSession))
+    return model
+
+
+def _counted(texts: DataFrame, known: DataFrame, model: Classifier, learned: list, spark) -> tuple:
+    """Logit, label, language and rows, of all labelled rows that no weight was learned from."""
+    sent = Shared(spark, model)
+
+    def start():
+        net, memo = sent.value, worker_slot(("toxicity",), lambda: Memo(_codes, 100_000))
+        return lambda texts: [[net.logit(net.encode(t, memo)) for t in texts]]
+    seen = spark.createDataFrame([(i,) for i in learned], known.select("i").schema)  # bounded by the sample
+    rest = texts.join(known.join(F.broadcast(seen), "i", "left_anti"), "i")
+    rows = map_texts(rest.withColumn("h", F.xxhash64("t")), "t", ("i", "y", "h", "l"), "z double", start)
+    step = F.round(F.greatest(F.least("z", F.lit(float(MOST))), F.lit(-float(MOST))) * STEPS).cast("int")
+    one = rows.groupBy("i", "y").agg(F.min(F.struct("h", "l", step.alias("step"))).alias("r"))
+    bins = one.groupBy("y", "r.l", "r.step").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "l", "step").collect()
+    return (np.array([b["step"] for b in bins], float) / STEPS, np.array([b["y"] for b in bins], float),
+            [b["l"] for b in bins], np.array([b["n"] for b in bins], float))
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:

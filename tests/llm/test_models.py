@@ -222,3 +222,13 @@ def test_sample_is_bounded_by_characters(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
     assert toxicity.fit(docs, labels, fit_chars=400_000).fitted
     assert not toxicity.fit(docs, labels, fit_chars=1_000).fitted  # too few rows are left
+
+
+def test_thresholds_come_from_all_labelled_rows(spark, labelled, monkeypatch):
+    """Beyond the bounded sample that the weights are learned from, every labelled row counts."""
+    docs, labels = labelled
+    counted = []
+    monkeypatch.setattr(toxicity.Classifier, "calibrate", lambda self, z, y, langs, n: counted.append((n * y).sum() + (n * (1 - y)).sum()))
+    toxicity.fit(docs, labels, fit_rows=20)
+    known = labels.where(~toxicity.held_out() & F.col("toxic").isin(0, 1)).join(docs, "doc_id").select("doc_id").distinct()
+    assert counted == [known.count() - 32]  # four fifths of 40
