@@ -227,4 +227,4 @@ def op13(spark, sf_dir):
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"),
-                       F.coalesce(F.element_at("ends", -1), F.lit(0).cast("bigint")).alias("n_source_bytes"))
+                       F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0).cast("bigint")).alias("n_source_bytes"))

@@ -121,3 +121,11 @@ def test_long_runs_that_no_piece_joins(word):
     ids, ends = encoder.encode(text)
     assert ids.tolist() == library.encode(text) and ends[-1] == len(text.encode())
     assert encoder.decode(ids) == library.decode(ids.tolist())
+
+
+def test_query_takes_null_and_empty_texts(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "a b"), (4, "a " + "🙂" * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    got = {r.doc_id: (r.n_tokens, r.n_source_bytes) for r in catalog.op13(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(library.encode(t or "")), len((t or "").encode())) for i, t in rows}
