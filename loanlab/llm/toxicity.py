@@ -158,10 +158,10 @@ class Classifier:
         return grads
 
     def fit(self, ids: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> np.ndarray:
-        """Learns the weights from four fifths of the rows; their places are returned."""
+        """Learns the weights from four fifths of the rows; returns the places of the others."""
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(ids))
-        train = order[len(ids) // 5:]
+        held, train = order[:len(ids) // 5], order[len(ids) // 5:]
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
@@ -176,7 +176,7 @@ class Classifier:
                     second[k] += 0.001 * (g * g - second[k])
                     self.weights[k] -= rate * (first[k] / (np.sqrt(second[k]) + 1e-8) + DECAY * self.weights[k])
         self.fitted = True
-        return np.sort(train)
+        return held
 
     def calibrate(self, z: np.ndarray, y: np.ndarray, langs: list, n: np.ndarray) -> None:
         """Scale and shift by weighted logistic regression at the true shares, then the thresholds.
@@ -187,7 +187,7 @@ class Classifier:
             return
         total, ones = n.sum(), max(1, (n * y).sum())
         weight = n * np.where(y == 1, self.share / ones, (1 - self.share) / max(1, total - ones)) * total
-        goal = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (max(1, total - ones) + 2))  # smoothed: never sure
+        goal = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (total - ones + 2))  # smoothed: never sure
         a = b = 0.0
         for _ in range(50):  # Newton steps, damped
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
@@ -254,25 +254,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     if len(rows) < 10 or y.min() == y.max():
         return model
     memo = Memo(_codes)
-    learned = model.fit([model.encode(r["r"]["t"], memo) for r in rows], y)
-    model.calibrate(*_counted(texts, known, model, [rows[i]["i"] for i in learned], docs.sparkSession))
+    ids = [model.encode(r["r"]["t"], memo) for r in rows]
+    held = model.fit(ids, y)
+    z, labelled, langs, n = _counted(texts, known, model, [r["i"] for r in rows], docs.sparkSession)
+    model.calibrate(np.concatenate(([model.logit(ids[i]) for i in held], z)), np.concatenate((y[held], labelled)),
+                    [rows[i]["r"]["l"] for i in held] + langs, np.concatenate((np.ones(len(held)), n)))
     return model
 
 
-def _counted(texts: DataFrame, known: DataFrame, model: Classifier, learned: list, spark) -> tuple:
-    """Logit, label, language and rows, of all labelled rows that no weight was learned from."""
+def _counted(texts: DataFrame, known: DataFrame, model: Classifier, sample: list, spark) -> tuple:
+    """Logit, label, language and rows, of all labelled rows beyond the sample."""
     sent = Shared(spark, model)
 
     def start():
         net, memo = sent.value, worker_slot(("toxicity",), lambda: Memo(_codes, 100_000))
         return lambda texts: [[net.logit(net.encode(t, memo)) for t in texts]]
-    seen = spark.createDataFrame([(i,) for i in learned], known.select("i").schema)  # bounded by the sample
+    seen = spark.createDataFrame([(i,) for i in sample], known.select("i").schema)
     rest = texts.join(known.join(F.broadcast(seen), "i", "left_anti"), "i")
     rows = map_texts(rest.withColumn("h", F.xxhash64("t")), "t", ("i", "y", "h", "l"), "z double", start)
     step = F.round(F.greatest(F.least("z", F.lit(float(MOST))), F.lit(-float(MOST))) * STEPS).cast("int")
     one = rows.groupBy("i", "y").agg(F.min(F.struct("h", "l", step.alias("step"))).alias("r"))
     bins = one.groupBy("y", "r.l", "r.step").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "l", "step").collect()
-    return (np.array([b["step"] for b in bins], float) / STEPS, np.array([b["y"] for b in bins], float),
+    return (np.array([b["step"] for b in bins], float) / STEPS, np.array([b["y"] for b in bins], np.float32),
             [b["l"] for b in bins], np.array([b["n"] for b in bins], float))
 
 
