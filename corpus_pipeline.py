@@ -18,6 +18,8 @@ from loanlab.llm import byte_bpe, decontamination, simhash, substring_dedup, tox
 from loanlab.llm.common import col
 from loanlab.session import name_local_folder, scratch_path
 
+MEMO_WORDS = 150_000  # the workers' memory still holds what earlier stages took
+
 
 def _stage(fn):
     """An entry point: a local session without a shared folder gets one."""
@@ -64,7 +66,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).alias("n_bytes")
     rows = byte_bpe.encode_and_decode(docs.select("doc_id", "text", size), ranks, public_tokenizers.PATTERN,
-                                      keep=("doc_id", "text", "n_bytes"))
+                                      keep=("doc_id", "text", "n_bytes"), entries=MEMO_WORDS)
     return rows.select("doc_id", "n_bytes", byte_bpe.n_tokens().alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), "ids",
                        (F.encode(F.coalesce("text", F.lit("")), "UTF-8") == F.col("decoded")).alias("round_trip"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlab.llm.common import col, kept, map_texts, ship, worker_slot
-from loanlab.llm.pretokens import Pieces
+from loanlab.llm.pretokens import MEMO_ENTRIES, Pieces
 
 ship(__name__)
 
@@ -120,9 +120,9 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
 class Encoder:
     """Texts to packed ids (little-endian unsigned 32-bit) and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = MEMO_ENTRIES):
         queue = RankQueue(max(ranks.values()) + 1)
-        self.pieces = Pieces(pattern, lambda token: self._pack(merge(token.encode(), ranks, queue)), b"")
+        self.pieces = Pieces(pattern, lambda token: self._pack(merge(token.encode(), ranks, queue)), b"", entries)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -144,9 +144,9 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _encoder(shared, pattern: str) -> Encoder:
+def _encoder(shared, pattern: str, entries: int = MEMO_ENTRIES) -> Encoder:
     """The worker's encoder: made once, with its memos, for one broadcast vocabulary."""
-    return worker_slot(("byte_bpe", shared.id, pattern), lambda: Encoder(shared.value, pattern))
+    return worker_slot(("byte_bpe", shared.id, pattern, entries), lambda: Encoder(shared.value, pattern, entries))
 
 
 class _Shared:
@@ -173,12 +173,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
 
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
-                      keep: tuple = ("doc_id",)) -> DataFrame:
-    """As ``encode``, with ``decoded``: the bytes that the ids stand for. One pass over the texts."""
+                      keep: tuple = ("doc_id",), entries: int = MEMO_ENTRIES) -> DataFrame:
+    """As ``encode``, with ``decoded``: the bytes that the ids stand for. One pass over the texts.
+
+    ``entries``: words that a worker's memo holds in each of its two generations.
+    """
     shared = _Shared(docs.sparkSession, ranks)
 
     def start():
-        encoder = _encoder(shared, pattern)
+        encoder = _encoder(shared, pattern, entries)
 
         def work(texts):
             ids = [encoder.encode(t) for t in texts]

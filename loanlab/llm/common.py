@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import sys
 import types
@@ -34,6 +35,7 @@ def worker_slot(key: tuple, make: Callable):
     held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
     if held.get("key") != key:
         held.pop("value", None)
+        gc.collect()  # an encoder and its memos refer to each other: dropped alone they would stay a while
         held["value"], held["key"] = make(), key
     return held["value"]
 

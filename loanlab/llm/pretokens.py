@@ -53,8 +53,8 @@ class Words(Memo):
     """Values of a space and a word. A word of letters and one sign is put together, not remembered:
     the letters are one match with their space, and the sign is the next."""
 
-    def __init__(self, work: Callable, signs: Memo):
-        super().__init__(work)
+    def __init__(self, work: Callable, signs: Memo, entries: int = MEMO_ENTRIES):
+        super().__init__(work, entries)
         self.signs = signs
 
     def __missing__(self, word):
@@ -66,10 +66,11 @@ class Words(Memo):
 class Pieces:
     """Maps a text to the values of its pieces, in order; their sum is the text's.
 
-    ``one`` gives a pre-token's value, ``none`` that of an empty piece.
+    ``one`` gives a pre-token's value, ``none`` that of an empty piece. ``entries``: words that a
+    generation of the memo holds.
     """
 
-    def __init__(self, pattern: str, one: Callable[[str], object], none):
+    def __init__(self, pattern: str, one: Callable[[str], object], none, entries: int = MEMO_ENTRIES):
         split = regex.compile(pattern).findall
         token = Memo(one, OTHER_ENTRIES)
         self.split, self.token, self.cuts = split, token, pattern in CUT_AT_SPACES
@@ -80,7 +81,8 @@ class Pieces:
                 value = value + token[t]
             return value
         self.plain = Memo(fold, OTHER_ENTRIES)
-        self.spaced = Words(lambda word: one(" " + word) if word.isalpha() else fold(" " + word), token)
+        self.spaced = Words(lambda word: one(" " + word) if word.isalpha() else fold(" " + word), token,
+                            entries)
         self.unsafe = regex.compile(r"\s ").search          # white space before a space: a run
         self.rough = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 

@@ -270,10 +270,13 @@ def _counted(texts: DataFrame, known: DataFrame, model: Classifier, sample: list
         net, memo = sent.value, worker_slot(("toxicity",), lambda: Memo(_codes, 100_000))
         return lambda texts: [[net.logit(net.encode(t, memo)) for t in texts]]
     seen = spark.createDataFrame([(i,) for i in sample], known.select("i").schema)
-    rest = texts.join(known.join(F.broadcast(seen), "i", "left_anti"), "i")
-    rows = map_texts(rest.withColumn("h", F.xxhash64("t")), "t", ("i", "y", "h", "l"), "z double", start)
+    if texts.schema["i"].dataType == known.schema["i"].dataType:  # else the ids' texts may differ
+        texts = texts.where(~held_out("i"))
+    # the texts are scored where they lie, labelled or not: only ids and logits are moved to the labels
+    rows = map_texts(texts.withColumn("h", F.xxhash64("t")), "t", ("i", "h", "l"), "z double", start)
     step = F.round(F.greatest(F.least("z", F.lit(float(MOST))), F.lit(-float(MOST))) * STEPS).cast("int")
-    one = rows.groupBy("i", "y").agg(F.min(F.struct("h", "l", step.alias("step"))).alias("r"))
+    one = (rows.select("i", F.struct("h", "l", step.alias("step")).alias("r"))
+           .join(known.join(F.broadcast(seen), "i", "left_anti"), "i").groupBy("i", "y").agg(F.min("r").alias("r")))
     bins = one.groupBy("y", "r.l", "r.step").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "l", "step").collect()
     return (np.array([b["step"] for b in bins], float) / STEPS, np.array([b["y"] for b in bins], np.float32),
             [b["l"] for b in bins], np.array([b["n"] for b in bins], float))

@@ -59,6 +59,18 @@ def test_held_out_labels_are_not_read(labelled, model):
     assert all((again.weights[k] == model.weights[k]).all() for k in model.weights)
 
 
+def test_texts_are_scored_where_they_lie(labelled, monkeypatch):
+    """The pass over all labelled rows joins ids and logits, never whole texts."""
+    seen, plain = [], toxicity.map_texts
+
+    def look(df, *rest):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, *rest)
+    monkeypatch.setattr(toxicity, "map_texts", look)
+    toxicity.fit(*labelled, fit_rows=100)
+    assert len(seen) == 1 and "Join" not in seen[0]
+
+
 def test_long_texts_are_read_to_the_end(model, monkeypatch):
     memo = toxicity.Memo(toxicity._codes)
     rng = random.Random(2)
