@@ -137,3 +137,29 @@ def test_many_cells_and_few_rows_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(nb, "_VISIT_ROWS", 7)
     got = _got(nb.nearest_neighbors(_points(spark, x), _points(spark, x), 3, exclude_self=True, cell_rows=4))
     assert got == _brute(x, x, 3, exclude_self=True)
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_groups_of_cells_equal_brute_force(spark, monkeypatch, groups):
+    monkeypatch.setattr(nb, "GROUPS", groups)
+    monkeypatch.setattr(nb, "UNIT_QUERIES", 20)
+    rng = np.random.default_rng(13)
+    x = np.hstack([rng.normal(size=(300, 4)), rng.integers(0, 2, size=(300, 2))])
+    x[100:140] = x[60]
+    got = _got(nb.nearest_neighbors(_points(spark, x), _points(spark, x), 5, exclude_self=True, cell_rows=10))
+    assert got == _brute(x, x, 5, exclude_self=True)
+
+
+def test_a_query_is_sent_to_groups_and_not_to_cells(spark, monkeypatch):
+    """Where every cell must be visited, a query goes out once for a group of cells."""
+    sent, join = [], nb._block_join
+
+    def counted(queries, points, point_counts, query_counts, k):
+        sent.append(sum(query_counts.values()))
+        return join(queries, points, point_counts, query_counts, k)
+    monkeypatch.setattr(nb, "_block_join", counted)
+    monkeypatch.setattr(nb, "GROUPS", 4)
+    x = np.random.default_rng(14).normal(size=(320, 24))  # too many dimensions for boxes to help
+    got = _got(nb.nearest_neighbors(_points(spark, x), _points(spark, x), 3, exclude_self=True, cell_rows=8))
+    assert got == _brute(x, x, 3, exclude_self=True)
+    assert sum(sent) <= 320 * 8  # 40 cells
