@@ -112,3 +112,25 @@ def test_rounds_read_few_full_blocks(spark):
     blocks = binned.store_blocks(rows.coalesce(2), "id", packing)
     assert blocks.count() <= 4
     assert sum(len(r["codes"]) for r in blocks.collect()) == 20_000 * 2 * len(packing.groups)
+
+
+@pytest.mark.parametrize("name, options", [("XGBoost", {"subsample": 0.6}), ("LightGBM", {}), ("AdaBoost", {})])
+def test_one_task_boosts_as_the_passes_do(spark, monkeypatch, name, options):
+    """A table that one task has room for takes some jobs, not some for every round."""
+    rows, *_ = _rows(spark, 600)
+    sc, jobs, models = spark.sparkContext, [], []
+    for most in (binned.LOCAL_ROWS, 0):
+        monkeypatch.setattr(binned, "LOCAL_ROWS", most)
+        sc.setJobGroup(f"{name} {most}", name)
+        models.append(ml.fit_model(name, rows.repartition(3), "id", rounds=6, **options))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"{name} {most}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    here, passes = ({r["id"]: r["score"] for r in m.score(rows).collect()} for m in models)
+    assert here == pytest.approx(passes, abs=1e-6)
+    assert models[0].importance() == pytest.approx(models[1].importance(), abs=1e-9)
+    monkeypatch.undo()
+    sc.setJobGroup(f"{name} more", name)
+    ml.fit_model(name, rows, "id", rounds=12, **options)
+    more = len(sc.statusTracker().getJobIdsForGroup(f"{name} more"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert more <= jobs[0] + 2 < jobs[1]
