@@ -78,3 +78,31 @@ def test_evaluation_in_ranges(spark):
         assert got[name]["roc_auc"] == pytest.approx(auc, abs=1e-12)
         assert got[name]["precision"] == pytest.approx(tp / (tp + fp))
         assert got[name]["accuracy"] == pytest.approx(np.mean([r[2] == r[4] for r in mine]))
+
+
+def test_tasks_are_given_few_blocks(spark, monkeypatch):
+    """A worker gets the blocks of a partition at once: more rows are more partitions, not larger ones."""
+    monkeypatch.setattr(logistic, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(logistic, "TASK_BLOCKS", 2)
+    blocks = logistic.store_rows(kfold(_rows(spark), "id", k=3), 4)
+    held = blocks.rdd.glom().map(len).collect()
+    assert sum(held) >= 90 and len(held) >= 45 and max(held) <= 12
+    assert blocks.storageLevel.useDisk and not blocks.storageLevel.useMemory
+    blocks.unpersist()
+
+
+def test_folds_are_fitted_in_shared_passes(spark):
+    """Cross-validated logistic regressions: more folds are not more jobs, and the values are those of single fits."""
+    sc, jobs, rows = spark.sparkContext, [], _rows(spark).persist()
+    for k in (2, 6):
+        sc.setJobGroup(f"folds {k}", "folds")
+        got = {(r["fold"], r["metric"]): r["value"] for r in ml.cross_validate("Logistic Regression", rows, "id", k=k).collect()}
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"folds {k}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 6 * len(ev.METRICS) and jobs[1] <= jobs[0] + 10
+    folded = kfold(rows, "id", k=6)
+    for i in (0, 5):
+        one = ml.fit_model("Logistic Regression", folded.filter(f"fold <> {i}").drop("fold"), "id")
+        want = ev.evaluate(ml.predict("LR", one, folded.filter(f"fold = {i}").drop("fold"), "id")).first()
+        assert got[i, "roc_auc"] == pytest.approx(want["roc_auc"], abs=5e-3)
+        assert got[i, "accuracy"] == pytest.approx(want["accuracy"], abs=0.02)
