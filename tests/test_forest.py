@@ -98,3 +98,21 @@ def test_odd_tables(spark, rows):
     assert all(0 <= v <= 1 for v in scores(model, rows).values())
     one = ml.fit_model("Random Forest", rows.where("label = 1"), "id", num_trees=4, max_depth=3)
     assert set(scores(one, rows).values()) == {1.0}
+
+
+def test_counts_of_a_wide_level_are_not_held_together(monkeypatch):
+    rng = np.random.default_rng(2)
+    codes, y = rng.integers(0, 30, (3_000, 5)).astype(np.uint8), rng.integers(0, 2, 3_000)
+    times = rng.integers(1, 4, 3_000).astype(float)
+    g, most, splits = forest.Growth(5, 30, 3, np.array([1.0, 1.5]), 12, 1, 42), [], forest._splits
+
+    def seen(counts, *rest):
+        most.append(len(counts))
+        return splits(counts, *rest)
+    monkeypatch.setattr(forest, "_splits", seen)
+    whole = g.grow(3, 1, codes, y, times)
+    assert max(most) > 100
+    most.clear()
+    monkeypatch.setattr(forest, "NODES_AT_ONCE", 16)
+    parts = g.grow(3, 1, codes, y, times)
+    assert max(most) <= 16 and all(np.array_equal(whole[k], parts[k]) for k in whole)
